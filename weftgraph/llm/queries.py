@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import tokenize
+from weftgraph.llm import pairs, tokenize
 from weftgraph.session import table
 
 
@@ -14,6 +14,10 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_ids,)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "memory_entries"), table(spark, d, "documents")).distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_ids)}
 
 ORACLE: dict[str, str] = {}
