@@ -33,6 +33,8 @@ LEAST_SEEN = 4
 #: Share of sentence ends after the gram under which a text is truncated.
 ENDS_RARELY = 0.05
 FILTER_BITS = 20
+#: Pairs that the language model also learns from, at most (those of the least hashes of ids).
+SAMPLE_PAIRS = 4000
 #: Nats by which another language must win.
 LANGUAGE_MARGIN = 4.0
 
@@ -267,7 +269,9 @@ def defects(entries: DataFrame, documents: DataFrame) -> DataFrame:
     count once. An empty table gives no rows; without labelled documents no language is told apart.
     """
     rows = written(responses(entries), "responses")
-    model = rows.sparkSession.sparkContext.broadcast(language.train(documents).table)
+    sample = rows.where("question is not null and text is not null").orderBy(F.xxhash64("id", "field"), "id", "field").limit(SAMPLE_PAIRS)
+    learn = [(stripped(r["question"]), stripped(visible(r["text"]))) for r in sample.collect()]
+    model = rows.sparkSession.sparkContext.broadcast(language.train(documents, learn).table)
     ends = end_likelihood(rows)
     rare = ends.where(F.coalesce(F.col("ended") < F.col("seen") * ENDS_RARELY, F.lit(True))).select("id", "field", F.lit(True).alias("rare"))
 
@@ -284,9 +288,12 @@ def defects(entries: DataFrame, documents: DataFrame) -> DataFrame:
             if open_rows:
                 mine, theirs = nb.scores([r[3] for r in open_rows]), nb.scores([r[2] for r in open_rows])
                 for (i, f, _, text, asked), a, q in zip(open_rows, mine, theirs):
-                    want = language.LANGUAGES.index(asked) if asked else int(q.argmax())
+                    if asked:
+                        lost = a.max() - a[language.LANGUAGES.index(asked)]
+                    else:  # both in their best languages against both in one
+                        lost = a.max() + q.max() - (a + q).max()
                     letters = sum(2 if ord(c) > 0x2E7F else 1 for c in text if c.isalpha())
-                    if letters >= 8 and a.max() - a[want] > LANGUAGE_MARGIN:
+                    if letters >= 8 and lost > LANGUAGE_MARGIN:
                         out.append((i, f, "language"))
             yield pd.DataFrame(out, columns=["id", "field", "defect"])
 
