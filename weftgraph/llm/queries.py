@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import pairs, reading, tokenize
+from weftgraph.llm import mixing, pairs, reading, tokenize
 from weftgraph.session import table
 
 
@@ -18,6 +18,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "memory_entries"), table(spark, d, "documents")).distinct()
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    got = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return got.withColumn("parts", F.to_json("parts"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "level").distinct()
 
@@ -26,6 +37,6 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_ids, p8_found, p8_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_ids, p7_mix, p7_shares, p8_found, p8_levels)}
 
 ORACLE: dict[str, str] = {}
