@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, pairs, reading, tokenize
+from weftgraph.llm import mixing, pairs, provenance, reading, tokenize
 from weftgraph.session import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.foreign(table(spark, d, "source_files"), table(spark, d, "third_party_files")).select("file_id").distinct()
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.foreign(table(spark, d, "source_files"), table(spark, d, "third_party_files"))
+
+
+def p5_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.handwritten(table(spark, d, "source_files"), table(spark, d, "third_party_files"), table(spark, d, "index_summaries"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
@@ -37,6 +49,6 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_ids, p7_mix, p7_shares, p8_found, p8_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p5_found, p5_kinds, p5_handwritten, p6_ids, p7_mix, p7_shares, p8_found, p8_levels)}
 
 ORACLE: dict[str, str] = {}
