@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import mixing, pairs, provenance, reading, tokenize
+from weftgraph.llm import mixing, pairs, provenance, reading, tokenize, unparsable
 from weftgraph.session import table
 
 
@@ -26,6 +26,18 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return unparsable.verdicts(table(spark, d, "source_files")).where("cost > 0").select("file_id").distinct()
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    return unparsable.verdicts(table(spark, d, "source_files")).where("cost > 0")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return unparsable.rates(table(spark, d, "source_files"), table(spark, d, "nodes"), table(spark, d, "track_b_python"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "memory_entries"), table(spark, d, "documents")).distinct()
 
@@ -49,6 +61,6 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p5_found, p5_kinds, p5_handwritten, p6_ids, p7_mix, p7_shares, p8_found, p8_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_files, p2_rates, p3_found, p5_found, p5_kinds, p5_handwritten, p6_ids, p7_mix, p7_shares, p8_found, p8_levels)}
 
 ORACLE: dict[str, str] = {}
