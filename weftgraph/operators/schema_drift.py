@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.session import written
+
 #: Lines of a file that one group holds at most.
 BLOCK_LINES = 4096
 TYPES = ("string", "number", "boolean", "array")
@@ -143,7 +145,7 @@ def layouts(records: DataFrame, files: DataFrame) -> DataFrame:
     string, number, boolean, array among equals); where it is null throughout, its last type in the stream stays, null
     if it never had one. Files without a JSON record have no layout and are passed over.
     """
-    p = profile(records)
+    p = written(profile(records), "profile")
     n = p.where("path = ''").select("file_id", F.col("n_records").alias("n_file"))
     order = Window.partitionBy("stream").orderBy("written_at", "file_id")
     placed = files.select("file_id", "stream", "written_at").dropDuplicates(["file_id"]).join(n, "file_id").withColumn("seq", F.row_number().over(order))
@@ -151,7 +153,6 @@ def layouts(records: DataFrame, files: DataFrame) -> DataFrame:
     best = F.greatest(*(F.col(f"n_{t}") for t in TYPES))
     own = F.when(best > 0, F.coalesce(*(F.when(F.col(f"n_{t}") == best, F.lit(t)) for t in TYPES)))
     before = Window.partitionBy("stream", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = Window.partitionBy("stream")
     return (
         kept.withColumn("type", F.last(own, ignorenulls=True).over(before))
         .select("stream", "seq", "file_id", "path", "type")
@@ -213,7 +214,7 @@ def value_sketches(records: DataFrame, change: DataFrame) -> DataFrame:
 
     parsed = records.select("file_id", "body").join(wanted, "file_id").select("body", "at_file", "side", "paths").mapInPandas(run, schema)
     # a repeated line counts once; a run whose repeats differ in a value keeps the least hash on both sides
-    once = parsed.groupBy("at_file", "run", "side", "path").agg(F.min("s").alias("s"))
+    once = written(parsed.groupBy("at_file", "run", "side", "path").agg(F.min("s").alias("s")), "values")
     sides = once.where("path = ''").groupBy("at_file", "run").agg(F.count(F.lit(1)).alias("n_sides")).where("n_sides = 2").select("at_file", "run")
     # sums of 48-bit hashes, each mixed with its run, fit a long for as many runs as files can hold; n guards against the rest
     return (
@@ -294,8 +295,6 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     Null bodies, lines that don't parse, repeated rows, empty tables: no change comes of them. Columns beyond the ones
     named here are not read.
     """
-    from weftgraph.session import written
-
     layout = written(layouts(records, files), "layouts")
     change = written(steps(layout, sequence(layout)), "steps")
     named = written(renames(records, change), "renames")
