@@ -229,29 +229,28 @@ def outside(keys: DataFrame) -> DataFrame:
 
 
 def subtrees(files: DataFrame) -> DataFrame:
-    """(repo, dir, k, family, n_files, chars): the Merkle hash of every directory over the hashes of its files and directories.
+    """(repo, dir, k, family, n, chars): the Merkle hash of every directory over the hashes of its files and directories.
 
-    A directory's hash mixes the sum of its children's mixed hashes with their number: order-free and algebraic.
+    A directory's hash mixes the sum of its children's mixed hashes with their number: order-free and algebraic. Levels
+    are made from the deepest up, each written once and read by the level above it.
     """
-    level = files.select("repo", "family", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), F.col("file_key").alias("k"), "chars")
-    deepest = level.agg(F.max(F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))))).first()[0] or 0
-    deepest = min(int(deepest), MAX_DEPTH)
-    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-    done: DataFrame | None = None
-    carried: DataFrame | None = None
+    at = F.regexp_replace("path", r"/?[^/]*$", "")
+    level = written(files.select("repo", at.alias("dir"), F.col("file_key").alias("k"), F.col("chars").cast("bigint").alias("chars"), F.when(at == "", 0).otherwise(F.size(F.split(at, "/"))).alias("depth")), "files")
+    deepest = min(level.agg(F.max("depth")).first()[0] or 0, MAX_DEPTH)
+    done: list[DataFrame] = []
+    above: DataFrame | None = None
     for d in range(deepest, 0, -1):
-        here = level.where(depth == d if d < MAX_DEPTH else depth >= d).select("repo", "family", "dir", "k", "chars", F.lit(1).alias("n"))
-        if carried is not None:
-            here = here.unionByName(carried)
-        g = here.groupBy("repo", "dir").agg(
-            F.first("family").alias("family"),
-            F.xxhash64(F.sum(F.xxhash64("k").bitwiseAND(F.lit((1 << 40) - 1))), F.count(F.lit(1))).alias("k"),
-            F.sum("chars").alias("chars"), F.sum("n").alias("n"),
-        )
-        g = g.select("repo", "family", "dir", "k", "chars", "n")
-        done = g if done is None else done.unionByName(g)
-        carried = g.where(depth == d).select("repo", "family", F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"), "k", F.col("chars"), F.col("n"))
-    return done if done is not None else level.select("repo", "family", "dir", "k", F.col("chars").cast("long").alias("chars"), F.lit(0).cast("long").alias("n")).limit(0)
+        here = level.where(F.col("depth") == d if d < MAX_DEPTH else F.col("depth") >= d).select("repo", "dir", "k", "chars", F.lit(1).cast("bigint").alias("n"))
+        if above is not None:
+            here = here.unionByName(above)
+        mixed = F.xxhash64(F.sum(F.xxhash64("k").bitwiseAND(F.lit((1 << 40) - 1))), F.count(F.lit(1)))
+        g = written(here.groupBy("repo", "dir").agg(mixed.alias("k"), F.sum("chars").alias("chars"), F.sum("n").alias("n")), "tree")
+        done.append(g)
+        above = g.select("repo", F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"), "k", "chars", "n")
+    out = done[0] if done else level.select("repo", "dir", "k", "chars", F.lit(0).cast("bigint").alias("n")).limit(0)
+    for g in done[1:]:
+        out = out.unionByName(g)
+    return out.withColumn("family", F.element_at(F.split("repo", "[-/]"), 1))
 
 
 def foreign(files: DataFrame, third_party: DataFrame) -> DataFrame:
