@@ -90,7 +90,7 @@ def collapse(text: Column, most: int = 40_000) -> Column:
 def strip_cues(text: Column) -> Column:
     """A transcript without its numbering, time codes and header."""
     line = r"(?m)^(WEBVTT.*|NOTE.*|\d+|\d{1,2}:\d{2}(:\d{2})?[.,]\d{3}\s*-->.*)$"
-    return F.trim(F.regexp_replace(F.regexp_replace(text, line, ""), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, line, ""), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def strip_json_comments(text: Column) -> Column:

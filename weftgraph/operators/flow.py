@@ -418,8 +418,9 @@ def summaries(g: Graph, source_calls: frozenset = frozenset(), sink_args: dict[s
         found, back, _ = taint_function(g, {p: (0, p)}, frozenset(), sink_args)
         if any(f[1] == p for f in found):
             reach.append(k)
-        returned |= back and any(p in names or back for _, names in g.returns)
+        returned |= back
     _, source_back, _ = taint_function(g, {}, source_calls)
+    source_back |= any(n in SOURCES or n in source_calls for _, names in g.returns for n in names)
     return reach, returned, source_back, any(c[0] in SANITIZERS for c in g.calls)
 
 
