@@ -28,6 +28,7 @@ BLOCK_CHARS = 60
 FILE_CHARS = 150
 #: Share of a file's evidence that must come from outside.
 OUTSIDE_SHARE = 0.5
+OUTSIDE_CHARS = 100
 MAX_DEPTH = 40
 
 COMMENT = re.compile(r"\s*(?:#!(?P<bang>[^\n]*)\n|(?:(?://|#)[^\n]*(?:\n|$))|/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''|<!--.*?-->)", re.S)
@@ -52,8 +53,8 @@ LAST_NUMBER = re.compile(r"(\d+)\D*$")
 
 
 def family(repo: str) -> str:
-    """Repositories are related if they share the part of the name before the first - or /."""
-    return re.split(r"[-/]", repo or "", maxsplit=1)[0]
+    """Repositories are related if they share the part of the name before the first - or /; those without a name are."""
+    return re.split(r"[-/]", repo or "", maxsplit=1)[0] or "?"
 
 
 def header(text: str) -> str:
@@ -250,7 +251,7 @@ def subtrees(files: DataFrame) -> DataFrame:
     out = done[0] if done else level.select("repo", "dir", "k", "chars", F.lit(0).cast("bigint").alias("n")).limit(0)
     for g in done[1:]:
         out = out.unionByName(g)
-    return out.withColumn("family", F.element_at(F.split("repo", "[-/]"), 1))
+    return out.withColumn("family", F.coalesce(F.nullif(F.element_at(F.split("repo", "[-/]"), 1), F.lit("")), F.lit("?")))
 
 
 def foreign(files: DataFrame, third_party: DataFrame) -> DataFrame:
@@ -274,7 +275,7 @@ def foreign(files: DataFrame, third_party: DataFrame) -> DataFrame:
         spread.where("family <> ''").join(from_outside, "k", "left").groupBy("file_id")
         .agg(F.sum("n").alias("all"), F.sum(F.when(F.col("out") == 1, F.col("n")).otherwise(0)).alias("foreign"))
     )
-    patched = mass.where((F.col("foreign") >= F.col("all") * OUTSIDE_SHARE) & (F.col("foreign") >= FILE_CHARS)).select("file_id")
+    patched = mass.where((F.col("foreign") >= F.col("all") * OUTSIDE_SHARE) & (F.col("foreign") >= OUTSIDE_CHARS)).select("file_id")
 
     trees = subtrees(mine.where(big)).where("n >= 2")
     shared_dirs = trees.join(outside(trees.select("k", "family")), "k", "left_semi").select("repo", "dir").distinct()

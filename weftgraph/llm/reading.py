@@ -111,7 +111,7 @@ def propagate(packed: DataFrame, grades: DataFrame, iterations: int = ITERATIONS
     spark = packed.sparkSession
     graded = packed.join(grades, "doc_id", "left").select("feats", F.col("grade").cast("double").alias("grade"))
     graded = written(graded, "graded")
-    start = grades.agg(F.avg("grade")).first()[0]
+    start = graded.agg(F.avg("grade")).first()[0]
     prior = 2.0 if start is None else float(start)
     size = 1 << BITS
     value, weight = np.full(size, prior), np.ones(size)
