@@ -21,7 +21,9 @@ def canonical(df):
     def cell(v):
         if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
             return None
-        return repr(round(v, 9)) if isinstance(v, float) else str(v)
+        if isinstance(v, float):  # a column of whole numbers with a null comes as floats
+            return str(int(v)) if v.is_integer() else repr(round(v, 9))
+        return str(v)
 
     return sorted((tuple(cell(v) for v in row) for row in df.itertuples(index=False)), key=str)
 

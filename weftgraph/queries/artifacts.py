@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import load, with_graph
-from weftgraph.operators import flow
+from weftgraph.operators import flow, shapes
 from weftgraph.session import shared_dir, table
 from weftgraph.sinks import export
 from weftgraph.sources import artifacts
@@ -41,6 +41,21 @@ def p11_program_taint(spark: SparkSession, d: str) -> DataFrame:
     return flow.program_taint(_files(spark, d))
 
 
+def a18_nearest_below(spark: SparkSession, d: str) -> DataFrame:
+    """For the document and schema nodes of a file, the first callable at or below their line."""
+    n = load(spark, d).nodes.where("file_path is not null and start_line is not null")
+    markers = n.where("kind not in ('function', 'method', 'file')").select("repo", "file_path", F.col("start_line").alias("line")).distinct()
+    return shapes.nearest_below(markers, n.where("kind in ('function', 'method')").select("repo", "file_path", "start_line", F.lpad(F.col("id").cast("string"), 20, "0").alias("target")), ["repo", "file_path"])
+
+
+def a19_innermost(spark: SparkSession, d: str) -> DataFrame:
+    """The smallest type that holds each callable of its file."""
+    n = load(spark, d).nodes
+    spans = n.where("kind in ('function', 'method')").select("repo", "file_path", F.col("start_line").alias("start"), F.col("end_line").alias("end")).distinct()
+    ranges = n.where("kind in ('struct', 'interface', 'component')").select("repo", "file_path", "start_line", "end_line", F.col("id").alias("owner"))
+    return shapes.innermost(spans, ranges, ["repo", "file_path"])
+
+
 def s02_relevance(spark: SparkSession, d: str) -> DataFrame:
     n = load(spark, d).nodes
     return n.select("file_path").distinct().select("file_path", artifacts.relevant(F.col("file_path")).alias("relevant"))
@@ -109,9 +124,13 @@ def x09_validation(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     # the names of program analysis begin with fl, as p with a number is a data problem's
     "fl01_cfg_blocks": p01_cfg_blocks, "fl01_cfg_edges": p01_cfg_edges, "fl02_definitions": p02_definitions, "fl07_dependences": p07_dependences, "fl09_taint": p09_taint, "fl11_program_taint": p11_program_taint,
-} | {f.__name__: f for f in (s02_relevance, s08_ddl_tables, s09_terraform, w01_events_windows, w02_file_stream, x01_json, x03_graphml, x04_import_script, x06_wiki, x08_relationships, x09_validation)}
+} | {f.__name__: f for f in (a18_nearest_below, a19_innermost, s02_relevance, s08_ddl_tables, s09_terraform, w01_events_windows, w02_file_stream, x01_json, x03_graphml, x04_import_script, x06_wiki, x08_relationships, x09_validation)}
 
 ORACLE = {
+    "a18_nearest_below": with_graph("""WITH n AS (SELECT * FROM g_nodes WHERE file_path IS NOT NULL AND start_line IS NOT NULL), m AS (SELECT DISTINCT repo, file_path, start_line AS line FROM n WHERE kind NOT IN ('function', 'method', 'file'))
+        SELECT m.repo, m.file_path, m.line, lpad(CAST(arg_min(n.id, (n.start_line, lpad(CAST(n.id AS VARCHAR), 20, '0'))) AS VARCHAR), 20, '0') AS target FROM m JOIN n ON n.repo = m.repo AND n.file_path = m.file_path AND n.kind IN ('function', 'method') AND n.start_line >= m.line GROUP BY 1, 2, 3"""),
+    "a19_innermost": with_graph("""WITH s AS (SELECT DISTINCT repo, file_path, start_line AS a, end_line AS b FROM g_nodes WHERE kind IN ('function', 'method')), r AS (SELECT * FROM g_nodes WHERE kind IN ('struct', 'interface', 'component'))
+        SELECT s.repo, s.file_path, s.a AS "start", s.b AS "end", arg_min(r.id, (r.end_line - r.start_line, -r.start_line, r.id)) AS owner FROM s JOIN r ON r.repo = s.repo AND r.file_path = s.file_path AND r.start_line <= s.a AND s.b <= r.end_line GROUP BY 1, 2, 3, 4"""),
     "w01_events_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "w02_file_stream": "SELECT DISTINCT file_id, repo, file_path, CAST(length(text) AS INT) AS n_chars FROM source_files",
     "s08_ddl_tables": """WITH s AS (SELECT repo, CAST(doc_id AS VARCHAR) AS file_path, unnest(string_split(regexp_replace(text, '--[^\\n]*|/\\*[\\s\\S]*?\\*/', ' ', 'g'), ';')) AS st, generate_subscripts(string_split(regexp_replace(text, '--[^\\n]*|/\\*[\\s\\S]*?\\*/', ' ', 'g'), ';'), 1) - 1 AS k FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)

@@ -81,6 +81,18 @@ class Revision:
         v, _ = self._pointer()
         return None if v < 0 else self.spark.read.parquet(f"{self.root}/v{v}")
 
+    def prune(self, keep: int = 8) -> int:
+        """Remove all versions but the ``keep`` newest; how many were removed. The current one always stays."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        gone = 0
+        for v in range(max(0, self.number - keep + 1)):
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/v{v}")
+            fs = p.getFileSystem(conf)
+            if fs.exists(p):
+                fs.delete(p, True)
+                gone += 1
+        return gone
+
     def bootstrap(self, rows: DataFrame) -> None:
         """The full rebuild before a stream starts."""
         v, _ = self._pointer()
