@@ -19,7 +19,7 @@ def canonical(df):
     df = df[sorted(df.columns)]
 
     def cell(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
             return None
         if isinstance(v, float):  # a column of whole numbers with a null comes as floats
             return str(int(v)) if v.is_integer() else repr(round(v, 9))
