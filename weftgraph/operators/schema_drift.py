@@ -143,7 +143,8 @@ def layouts(records: DataFrame, files: DataFrame) -> DataFrame:
 
     A field is in at least half of the file's records. Its type is that of most of its non-null values (the first of
     string, number, boolean, array among equals); where it is null throughout, its last type in the stream stays, null
-    if it never had one. Files without a JSON record have no layout and are passed over.
+    if it never had one. Files without a JSON record have no layout and are passed over. What is ordered per stream are
+    files, one small row each (and one per path), never records.
     """
     p = written(profile(records), "profile")
     n = p.where("path = ''").select("file_id", F.col("n_records").alias("n_file"))
