@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +37,27 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    own = tempfile.mkdtemp(prefix="weftgraph-ship-")  # of the driver alone; Spark serves the file from there
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    with zipfile.ZipFile(f"{own}/weftgraph.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(f"{own}/weftgraph.zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; column pruning and filters reach its Parquet scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -68,8 +88,3 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         "compression", "zstd"
     ).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
-
-
-def python_path_ready() -> str:
-    """The repository's root, for Python workers that were started elsewhere."""
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
