@@ -26,18 +26,18 @@ from weftgraph.session import written
 BITS = 18
 ITERATIONS = 5
 LEAST_WORDS = 40
-TOKEN = re.compile(r"`[^`]*`|[^\s.,;:!?()\"“”«»¿¡…]+(?:[./][^\s.,;:!?()\"“”«»¿¡…]+)*")
+EDGES = ".,;:!?()\"“”«»¿¡…'’-–—*_"
 NAME = re.compile(r"[`_/\\\d]|[a-z][A-Z]|\.\w")
 #: Han, kana and Hangul: texts mainly in them are of none of the languages that have levels here.
 WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
 def word_hash(word: str) -> int:
-    """Names, paths, numbers and code are all one word."""
+    """Names, paths, numbers and code are all one word; punctuation at its ends is no part of a word."""
     if NAME.search(word):
         return 0x5BD1E995
     h = 0xCBF29CE484222325
-    for b in word.lower().strip("'’-–—*_").encode("utf-8", "surrogatepass"):
+    for b in word.lower().strip(EDGES).encode("utf-8", "surrogatepass"):
         h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
     return h | 1
 
@@ -59,7 +59,7 @@ class Features:
                 if got:
                     prose = "\n".join(got)
                     if prose.isascii() or len(WIDE.findall(prose)) * 4 < len(prose):
-                        words += TOKEN.findall(prose)
+                        words += prose.split()
             spans.append((a, len(words)))
         if len(self.known) > self.bound:
             self.known.clear()
