@@ -83,6 +83,13 @@ def test_areas(spark):
     assert {r["id"]: r["community"] for r in V.fold_tiny(g, tiny).collect()} == {**{i: 0 for i in a}, **{i: 1 for i in b}}
 
 
+def test_numbering_needs_no_single_task(spark):
+    rows = [(random.Random(i).randrange(40), i) for i in range(500)]
+    got = {(r["a"], r["b"]): r["number"] for r in V.numbered(spark.createDataFrame(rows, "a int, b int").repartition(7), F.col("a").desc(), F.col("b").asc()).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(rows, key=lambda r: (-r[0], r[1])) and sorted(got.values()) == list(range(500))
+    assert V.numbered(spark.createDataFrame([], "a int, b int"), F.col("a").asc()).collect() == []
+
+
 def test_full_text(spark):
     docs = spark.createDataFrame([(1, "resolve_call", None), (2, "resolver", "calls résolve names"), (3, "other", "nothing"), (4, None, None), (5, "call_resolve", "x")], "id bigint, name string, description string")
     q = spark.createDataFrame([(1, "resolve call"), (2, "RESOL"), (3, ""), (4, "zz")], "query_id bigint, text string")

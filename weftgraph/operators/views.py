@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import endpoint_shape, is_vendored, parent_dir
 from weftgraph.graph import PropertyGraph
 from weftgraph.operators.graph_algos import degrees, dependents, entrypoints
+from weftgraph.session import written
 
 HUB_DEGREE = 10
 
@@ -249,8 +250,19 @@ def fold_tiny(g: PropertyGraph, groups: DataFrame, least: int = 3) -> DataFrame:
     j = m.alias("m").join(dominant.alias("d"), F.col("m.repo").eqNullSafe(F.col("d.repo")) & F.col("m.file_path").eqNullSafe(F.col("d.file_path")))
     moved = j.select("id", F.when((F.col("n") < least) & (F.col("dom_n") >= least), F.col("dom")).otherwise(F.col("community")).alias("community"))
     sizes = moved.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.col("n").desc(), "community")  # over communities, not over members
-    return moved.join(sizes.select("community", (F.row_number().over(order) - 1).cast("bigint").alias("number")), "community").select("id", F.col("number").alias("community"))
+    return moved.join(numbered(sizes, F.col("n").desc(), F.col("community").asc()).select("community", "number"), "community").select("id", F.col("number").alias("community"))
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows with ``number``, from 0 in the order given, without one task that sees them all.
+
+    Ranges of the order are sorted apart; a row's number is its place in its range plus the rows of the ranges before.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(ranges, "_part").withColumn("number", F.col("_base") + F.col("_at")).drop("_id", "_part", "_at", "_base")
 
 
 def area_names(g: PropertyGraph, groups: DataFrame) -> DataFrame:
