@@ -152,7 +152,7 @@ class Plan:
         for p in self.select.patterns:
             rows = self.optional(rows, p) if p.optional else self.pattern(rows, p)
         if self.select.where is not None:
-            rows = rows.where(self.truth(self.select.where))
+            rows = rows.where(self.truth(self.select.where, True))
         return rows
 
     # expressions: (type, column), type one of int, text, node, path, null
@@ -174,11 +174,12 @@ class Plan:
         got = F.upper(path[0]["kind"]) if v.value == "type" else path[0]["confidence"]
         return "text", F.when(F.size(path) == 1, got)
 
-    def truth(self, t: Test) -> Column:
+    def truth(self, t: Test, filters: bool = False) -> Column:
+        """Two-valued. Where the test only filters rows, outside any NOT, null may stand for false: such tests reach the scan."""
         if t.op == "and":
-            return self.truth(t.args[0]) & self.truth(t.args[1])
+            return self.truth(t.args[0], filters) & self.truth(t.args[1], filters)
         if t.op == "or":
-            return self.truth(t.args[0]) | self.truth(t.args[1])
+            return self.truth(t.args[0], filters) | self.truth(t.args[1], filters)
         if t.op == "not":
             return ~self.truth(t.args[0])
         if t.op == "null":
@@ -187,7 +188,9 @@ class Plan:
         if t.op == "in":
             kind, col = self.value(t.args[0])
             same = [x.value for x in t.args[1] if x.kind == kind]
-            return F.coalesce(col.isin(*same), F.lit(False)) if same else F.lit(False)
+            if not same:
+                return F.lit(False)
+            return col.isin(*same) if filters else F.coalesce(col.isin(*same), F.lit(False))
         (lk, left), (rk, right) = self.value(t.args[0]), self.value(t.args[1])
         if t.symbol == "<>":
             if lk == rk and lk != "null":
@@ -199,7 +202,7 @@ class Plan:
             "=": lambda: left == right, "<": lambda: left < right, "<=": lambda: left <= right, ">": lambda: left > right, ">=": lambda: left >= right,
             "contains": lambda: left.contains(right), "starts": lambda: left.startswith(right), "ends": lambda: left.endswith(right),
         }[t.symbol]()
-        return F.coalesce(got, F.lit(False))
+        return got if filters else F.coalesce(got, F.lit(False))
 
     # projection
 
