@@ -112,6 +112,17 @@ def test_communities_are_the_sequential_ones(random_graph):
     assert {r["id"]: r["community"] for r in A.communities(g).collect()} == {i: c for i, c in want.items() if sizes[c] > 1}
 
 
+@pytest.mark.parametrize("block_rows", [60])
+def test_communities_keep_the_order_in_large_components(random_graph, block_rows):
+    nodes, edges, g = random_graph
+    want = A.sequential_labels([i for i, *_ in nodes], [(a, b) for a, b, *_ in edges])
+    sizes = {}
+    for c in want.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    got = A.communities(g, most_nodes=5, block_rows=block_rows)
+    assert {r["id"]: r["community"] for r in got.collect()} == {i: c for i, c in want.items() if sizes[c] > 1}
+
+
 def test_synchronous_labels_split_two_cliques(spark):
     clique = lambda ids: [(a, b, "calls", "EXTRACTED") for a in ids for b in ids if a != b]
     a, b = range(10), range(100, 110)

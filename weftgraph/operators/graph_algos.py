@@ -257,12 +257,83 @@ def sequential_labels(ids: list[int], edges: list[tuple[int, int]], rounds: int
     return label
 
 
-def communities(g: PropertyGraph, most_nodes: int = 20_000, rounds: int = 12) -> DataFrame:
+def block_labels(ids: list[int], labels: dict[int, int], inside: list[tuple[int, int, int]], outside: list[tuple[int, int, int]]) -> dict[int, int]:
+    """One round of ``sequential_labels`` over a block of ids: inside(a, b, edges) change as it goes, outside(a, label, votes) stand still."""
+    around: dict[int, list[tuple[int, int]]] = {i: [] for i in ids}
+    still: dict[int, list[tuple[int, int]]] = {i: [] for i in ids}
+    for a, b, n in inside:
+        around[a].append((b, n))
+    for a, label, n in outside:
+        still[a].append((label, n))
+    new = dict(labels)
+    for i in sorted(ids):
+        votes: dict[int, int] = {}
+        for label, n in still[i]:
+            votes[label] = votes.get(label, 0) + n
+        for b, n in around[i]:
+            votes[new[b]] = votes.get(new[b], 0) + n
+        if votes:
+            new[i] = min(votes, key=lambda x: (-votes[x], x))
+    return new
+
+
+def ordered_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 12, block_rows: int = 1_000_000) -> DataFrame:
+    """(id, community): the labels of ``sequential_labels`` for graphs that no task can hold.
+
+    nodes(id) are cut into ranges of ids with about ``block_rows`` neighbours each. In a round the blocks are settled one
+    after another, each by one task in the order of ids; the votes of nodes outside the block, settled in this round if
+    their ids are less and in the last one if they are greater, are summed up before. So the labels don't depend on the
+    cut, and a task gets a block's inner edges and one row per (node, outer label).
+    """
+    ends = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    for end in ("a", "b"):
+        both = both.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    e = written(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), "order")
+    blocks = max(1, -(-e.count() // block_rows))
+    # one row a block comes to the driver: its least id
+    lows = sorted(r[0] for r in e.repartitionByRange(blocks, "a").groupBy(F.spark_partition_id()).agg(F.min("a")).collect())
+    if not lows:
+        return nodes.select("id", F.col("id").alias("community"))
+    highs: list[int | None] = [*lows[1:], None]
+    within = lambda c, k: (F.col(c) >= lows[k]) if highs[k] is None else (F.col(c) >= lows[k]) & (F.col(c) < highs[k])
+    first = written(nodes.select("id", F.col("id").alias("label"), F.lit(False).alias("moved")), "labels")
+    files: dict[int, list[str]] = {}
+
+    def now() -> DataFrame:
+        if not files:
+            return first
+        settled = nodes.sparkSession.read.schema(first.schema).parquet(*(f for own in files.values() for f in own))
+        return settled if len(files) == len(lows) else settled.unionByName(first.where(F.col("id") >= lows[len(files)]))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = {k: list(part[["a", "x", "n"]].itertuples(index=False, name=None)) for k, part in pdf.groupby("what")}
+        old = {a: x for a, x, _ in rows["label"]}
+        new = block_labels(list(old), old, rows.get("inside", []), rows.get("outside", []))
+        return pd.DataFrame({"id": list(new), "label": list(new.values()), "moved": [new[i] != old[i] for i in new]})
+
+    for _ in range(rounds):
+        moved = False
+        for k in range(len(lows)):
+            labels, own = now(), e.where(within("a", k))
+            outside = own.where(~within("b", k)).join(labels.where(~within("id", k)).select(F.col("id").alias("b"), "label"), "b").groupBy("a", F.col("label").alias("x")).agg(F.sum("w").alias("n"))
+            rows = labels.where(within("id", k)).select(F.lit("label").alias("what"), F.col("id").alias("a"), F.col("label").alias("x"), F.lit(0).cast("bigint").alias("n"))
+            rows = rows.unionByName(own.where(within("b", k)).select(F.lit("inside").alias("what"), "a", F.col("b").alias("x"), F.col("w").alias("n"))).unionByName(outside.select(F.lit("outside").alias("what"), "a", "x", "n"))
+            new = written(rows.groupBy().applyInPandas(settle, first.schema), "labels")
+            files[k] = new.inputFiles()
+            moved = bool(new.where("moved").take(1)) or moved
+        if not moved:
+            break
+    out = now().select("id", F.col("label").alias("community"))
+    return out.unionByName(nodes.select("id", F.col("id").alias("community")).join(out.select("id"), "id", "left_anti"))
+
+
+def communities(g: PropertyGraph, most_nodes: int = 20_000, rounds: int = 12, block_rows: int = 1_000_000) -> DataFrame:
     """(id, community) of the communities with more than one member.
 
-    In components of up to ``most_nodes`` nodes, a bound on what one task gets, labels spread one node after another in
-    the order of ids; no label leaves its component, so components run apart. Larger components have no order that could
-    run distributed: there the synchronous rounds of ``label_propagation`` decide.
+    Labels spread one node after another in the order of ids, in components of every size. No label leaves its
+    component, so components of up to ``most_nodes`` nodes, a bound on what one task gets, run apart; larger ones run in
+    blocks of about ``block_rows`` neighbours (``ordered_labels``). Neither bound changes a label.
     """
     comp = written(components(g), "comp")
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -279,10 +350,8 @@ def communities(g: PropertyGraph, most_nodes: int = 20_000, rounds: int = 12) ->
         return pd.DataFrame({"id": list(got), "community": list(got.values())})
 
     exact = rows.groupBy("component").applyInPandas(run, "id bigint, community bigint")
-    rest = g.edges.join(large.select(F.col("id").alias("src")), "src", "left_semi")
     if large.take(1):
-        spread = label_propagation(PropertyGraph(g.nodes.join(large, "id", "left_semi"), rest), rounds)
-        exact = exact.unionByName(spread)
+        exact = exact.unionByName(ordered_labels(large, g.edges, rounds, block_rows))
     members = exact.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("community")
     return exact.join(members, "community").select("id", "community")
 
