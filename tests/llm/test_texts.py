@@ -23,6 +23,19 @@ def memory(spark):
     return spark.read.parquet("/root/testdata/sf0.01/memory_entries.parquet")
 
 
+def test_language_model_learns_from_all_pairs(spark, documents):
+    texts = ["Which file declares the parser and who calls it from the server?", "¿Qué archivo declara el servidor y quién lo llama desde ayer?", "12"]
+    told = [(texts[k % 3], f"{texts[k % 3]} {texts[k % 3]}") for k in range(4500)]
+    first = language.train(documents)
+    got = language.pair_counts(spark.createDataFrame(told, "question string, text string").repartition(3), first)
+    want = np.zeros_like(got)
+    for pair in told[:2]:
+        language.add_pairs(want, first, [pair])
+    assert want.sum() > 0 and (got == 1500 * want).all()
+    # single characters of both sides, with the two blanks of each
+    assert got[0, :, language.LANGUAGES.index("en")].sum() == 1500 * sum(len(t) + 2 for t in told[0])
+
+
 def test_language_model_on_held_out_sentences(documents):
     nb = language.train(documents)
     tests = {

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +41,9 @@ class NaiveBayes:
     def __init__(self, table: np.ndarray):
         self.table = table
 
-    @classmethod
-    def fit(cls, texts: list[str], labels: list[str]) -> NaiveBayes:
+    @staticmethod
+    def counts(texts: list[str], labels: list[str]) -> np.ndarray:
+        """Smoothed counts of the grams of labelled texts, (order, bucket, language)."""
         counts = np.full((len(ORDERS), BUCKETS, len(LANGUAGES)), 0.05)
         for k, lang in enumerate(LANGUAGES):
             own = [t for t, at in zip(texts, labels) if at == lang]
@@ -47,27 +51,15 @@ class NaiveBayes:
                 codes, _ = _codes(own)
                 for i, n in enumerate(ORDERS):
                     counts[i, :, k] += np.bincount(_grams(codes, n), minlength=BUCKETS)
+        return counts
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> NaiveBayes:
         return cls(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
 
     @classmethod
-    def fit_pairs(cls, texts: list[str], labels: list[str], pairs: list[tuple[str, str]], sure: float = 8.0) -> NaiveBayes:
-        """Fit on labelled texts, then once more with the pairs that the first fit is sure of.
-
-        Both sides of a pair are taken to be in one language; it is sure if it wins by ``sure`` nats over both together.
-        The few pairs of mixed language are noise. This teaches the short, stereotyped wording of prompts.
-        """
-        first = cls.fit(texts, labels)
-        if not pairs:
-            return first
-        texts, labels = [*texts], [*labels]
-        both = first.scores([a for a, _ in pairs]) + first.scores([b for _, b in pairs])
-        order = np.sort(both, axis=1)
-        best = both.argmax(axis=1)
-        for (a, b), k, margin in zip(pairs, best, order[:, -1] - order[:, -2]):
-            if margin > sure:
-                texts += [a, b]
-                labels += [LANGUAGES[k]] * 2
-        return cls.fit(texts, labels)
+    def fit(cls, texts: list[str], labels: list[str]) -> NaiveBayes:
+        return cls.of(cls.counts(texts, labels))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """(text, language): the mean over the orders of the summed log likelihoods; flat for texts without letters."""
@@ -85,10 +77,62 @@ class NaiveBayes:
         return total / len(ORDERS)
 
 
-def train(documents: DataFrame, pairs: list[tuple[str, str]] = []) -> NaiveBayes:  # noqa: B006
+def add_pairs(table: np.ndarray, model: NaiveBayes, pairs: list[tuple[str, str]], sure: float = 8.0) -> None:
+    """Add to table (order, bucket, language) the grams of the pairs that the model is sure of.
+
+    Both sides of a pair are taken to be in one language; it is sure if it wins by ``sure`` nats over both together.
+    The few pairs of mixed language are noise. Grams that reach into another text are left out, so the sum doesn't
+    depend on which pairs come together.
+    """
+    if not pairs:
+        return
+    both = model.scores([a for a, _ in pairs]) + model.scores([b for _, b in pairs])
+    order = np.sort(both, axis=1)
+    best = both.argmax(axis=1)
+    margin = order[:, -1] - order[:, -2]
+    for k in range(len(LANGUAGES)):
+        own = [t for pair, at, m in zip(pairs, best, margin) if at == k and m > sure for t in pair]
+        if not own:
+            continue
+        codes, ends = _codes(own)
+        text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        for i, n in enumerate(ORDERS):
+            grams = _grams(codes, n)
+            whole = text[: len(grams)] == text[n - 1 : n - 1 + len(grams)]
+            table[i, :, k] += np.bincount(grams[whole], minlength=BUCKETS)
+
+
+def pair_counts(pairs: DataFrame, model: NaiveBayes) -> np.ndarray:
+    """(order, bucket, language): the grams of all pairs(question, text) that the model is sure of, summed over the tasks.
+
+    A task sends one row per cell of the table that it counted in; the driver gets the summed cells, as many as the table has at most.
+    """
+    first = pairs.sparkSession.sparkContext.broadcast(model.table)
+    shape = model.table.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, nb = np.zeros(shape, np.int64), NaiveBayes(first.value)
+        for batch in batches:
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for a in range(0, len(rows), 1000):
+                add_pairs(table, nb, rows[a : a + 1000])
+        cells = np.flatnonzero(table)
+        for a in range(0, len(cells), 100_000):
+            part = cells[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table.ravel()[part])], ["cell", "n"])
+
+    got = pairs.select("question", "text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(shape)
+    out.ravel()[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def train(documents: DataFrame, pairs: DataFrame | None = None) -> NaiveBayes:
     """A model of documents.lang over the documents' prose, from at most SAMPLE_PER_LANGUAGE labelled rows of each language.
 
     Labels are read up to their first two letters, in any case; null, unknown and wrong ones are noise that the counts outweigh.
+    With pairs(question, text) the model is fitted once more with all pairs that the first fit is sure of; this teaches
+    the short, stereotyped wording of prompts.
     """
     label = F.lower(F.substring(F.trim("lang"), 1, 2))
     rank = Window.partitionBy("label").orderBy("h", "doc_id")
@@ -102,4 +146,6 @@ def train(documents: DataFrame, pairs: list[tuple[str, str]] = []) -> NaiveBayes
     )
     got = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").collect()
     texts = ["\n".join(paragraphs(r["text"])) for r in got]
-    return NaiveBayes.fit_pairs(texts, [r["label"] for r in got], pairs)
+    counts = NaiveBayes.counts(texts, [r["label"] for r in got])
+    first = NaiveBayes.of(counts)
+    return first if pairs is None else NaiveBayes.of(counts + pair_counts(pairs, first))

@@ -33,8 +33,6 @@ LEAST_SEEN = 4
 #: Share of sentence ends after the gram under which a text is truncated.
 ENDS_RARELY = 0.05
 FILTER_BITS = 20
-#: Pairs that the language model also learns from, at most (those of the least hashes of ids).
-SAMPLE_PAIRS = 4000
 #: Nats by which another language must win.
 LANGUAGE_MARGIN = 4.0
 
@@ -249,6 +247,16 @@ def target_language(question: str) -> str | None:
     return _NAME.get(m[1].lower()) if m else None
 
 
+def learned(rows: DataFrame) -> DataFrame:
+    """(question, text): the words of all pairs that the language model also learns from."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"question": [stripped(q) for q in pdf["question"]], "text": [stripped(visible(t)) for t in pdf["text"]]})
+
+    return rows.where("question is not null and text is not null").select("question", "text").mapInPandas(run, "question string, text string")
+
+
 def _kind(question: str | None, text: str | None, ends_rarely: bool) -> str | None:
     if is_empty(text):
         return "empty"
@@ -269,9 +277,7 @@ def defects(entries: DataFrame, documents: DataFrame) -> DataFrame:
     count once. An empty table gives no rows; without labelled documents no language is told apart.
     """
     rows = written(responses(entries), "responses")
-    sample = rows.where("question is not null and text is not null").orderBy(F.xxhash64("id", "field"), "id", "field").limit(SAMPLE_PAIRS)
-    learn = [(stripped(r["question"]), stripped(visible(r["text"]))) for r in sample.collect()]
-    model = rows.sparkSession.sparkContext.broadcast(language.train(documents, learn).table)
+    model = rows.sparkSession.sparkContext.broadcast(language.train(documents, learned(rows)).table)
     ends = end_likelihood(rows)
     rare = ends.where(F.coalesce(F.col("ended") < F.col("seen") * ENDS_RARELY, F.lit(True))).select("id", "field", F.lit(True).alias("rare"))
 
