@@ -135,6 +135,13 @@ def test_walk_documents_and_ignore(spark, tmp_path):
     assert d["d.docx"] == "one two" and d["t.srt"] == "hello" and d["p.pdf"] is None and d["keep.md"].startswith("# T")
 
 
+def test_long_text_documents_are_whole(spark, tmp_path):
+    long = "# T\n\n" + "word " * 10_000 + "end"
+    (tmp_path / "a.md").write_text(long)
+    (tmp_path / "b.rst").write_text(long)
+    assert {r["description"] for r in artifacts.documents(artifacts.walk(spark, str(tmp_path))).collect()} == {long}
+
+
 def test_catalog(spark):
     t = spark.createDataFrame([("public", "customers"), ("sales", "orders")], "schema string, table string")
     c = spark.createDataFrame([("public", "customers", "id", "int", 1, False, True), ("sales", "orders", "customer_id", "int", 1, True, False)], "schema string, table string, column string, type string, ordinal int, nullable boolean, primary_key boolean")

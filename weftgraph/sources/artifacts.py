@@ -148,7 +148,7 @@ def binary_text(path: str, data: bytes | None) -> str | None:
 
 
 def documents(walked: DataFrame) -> DataFrame:
-    """(file_path, description) of walked document files; cues and white space reduced, at most MOST_TEXT characters, null while pending."""
+    """(file_path, description) of walked document files; text documents are whole, cues apart; white space of others is reduced, to at most MOST_TEXT characters; null while pending."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,7 +156,7 @@ def documents(walked: DataFrame) -> DataFrame:
 
     docs = walked.where(extension(F.col("file_path")).isin(*TEXT_DOCS, "pdf", "docx", "pptx", "xlsx", "xlsm", "odt", "ods", "csv", "svg", "png", "jpg"))
     got = docs.select("file_path", "content").mapInPandas(run, "file_path string, text string")
-    text = F.when(extension(F.col("file_path")).isin("srt", "vtt"), strip_cues(F.col("text"))).when(extension(F.col("file_path")).isin(*TEXT_DOCS), F.substring("text", 1, MOST_TEXT)).otherwise(collapse(F.col("text"), MOST_TEXT))
+    text = F.when(extension(F.col("file_path")).isin("srt", "vtt"), strip_cues(F.col("text"))).when(extension(F.col("file_path")).isin(*TEXT_DOCS), F.col("text")).otherwise(collapse(F.col("text"), MOST_TEXT))
     return got.select("file_path", text.alias("description"))
 
 
