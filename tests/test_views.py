@@ -230,3 +230,13 @@ def test_random_seeded_word_counts(spark):
     import re
 
     assert [r[0] for r in got] == [len(re.findall(rf"(?<!\w){w}(?!\w)", t)) for t, w in rows]
+
+
+def test_insight_and_cards_are_of_the_whole_tables(spark, data):
+    from weftgraph.queries.views import QUERIES
+
+    files = spark.read.parquet(f"{data}/source_files.parquet").where("repo is not null")
+    got = QUERIES["v06_pr_insight"](spark, data).select("repo").collect()
+    assert sorted(r[0] for r in got) == sorted(r[0] for r in files.select("repo").distinct().collect())
+    nodes = spark.read.parquet(f"{data}/nodes.parquet").where("id is not null")
+    assert QUERIES["f03_cards"](spark, data).select("id").distinct().count() == nodes.select("id").distinct().count()

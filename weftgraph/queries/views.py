@@ -30,11 +30,17 @@ def v04_api_impact(spark: SparkSession, d: str) -> DataFrame:
     return V.api_impact(load(spark, d))
 
 
+def _last_fetches(files: DataFrame) -> DataFrame:
+    """(repo, number, files): a request of each repository, the files fetched on its last day; the day, as yyyymmdd, is its number."""
+    f = files.where("repo is not null and fetched_at is not null").select("repo", F.to_date("fetched_at").alias("day"), "file_path")
+    last = f.groupBy("repo").agg(F.max("day").alias("day"))
+    return f.join(last, ["repo", "day"]).groupBy("repo", F.date_format("day", "yyyyMMdd").cast("bigint").alias("number")).agg(F.collect_set("file_path").alias("files"))
+
+
 def v06_pr_insight(spark: SparkSession, d: str) -> DataFrame:
     """Requests whose changed files are those of the repositories' latest fetches."""
     g = load(spark, d)
-    files = table(spark, d, "source_files").where("file_id % 100 = 0").select("repo", "file_id", "file_path").distinct()
-    prs = files.groupBy("repo", F.col("file_id").alias("number")).agg(F.collect_set("file_path").alias("files")).withColumn("draft", F.lit(False)).withColumn("checks", F.array(F.lit("SUCCESS")))
+    prs = _last_fetches(table(spark, d, "source_files")).withColumn("draft", F.lit(False)).withColumn("checks", F.array(F.lit("SUCCESS")))
     return V.pr_insight(g, prs).select("repo", "number", "symbols", "hubs", "blast_radius", "tests", "risk", "band")
 
 
@@ -153,7 +159,7 @@ def f02_explore(spark: SparkSession, d: str) -> DataFrame:
 
 def f03_cards(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d)
-    return R.cards(g, g.nodes.where("id % 100 = 0 and kind in ('function', 'method')"), table(spark, d, "source_files"))
+    return R.cards(g, g.nodes, table(spark, d, "source_files"))
 
 
 def f04_semantic(spark: SparkSession, d: str) -> DataFrame:
