@@ -94,6 +94,28 @@ def test_huge_totals_split_in_proportion():
     assert here.sum() == mixing.SLOTS_PER_SHARD and abs(before[0] / before.sum() - 0.75) < 0.01
 
 
+def test_splits_are_multinomial_draws_given_their_sum():
+    # brute force: independent binomials, kept only where they add up
+    here, left = np.array([9, 5, 2, 0]), 7
+    rng = np.random.default_rng(5)
+    free = rng.binomial(here, left / here.sum(), size=(200_000, 4))
+    want = free[free.sum(axis=1) == left]
+    got = np.array([mixing.split(here, left, rng) for _ in range(20_000)])
+    assert (got.sum(axis=1) == left).all() and (got <= here).all() and (got >= 0).all()
+    assert np.allclose(got.mean(0), want.mean(0), atol=0.03) and np.allclose(np.cov(got.T), np.cov(want.T), atol=0.05)
+
+
+def test_splits_know_no_greatest_size():
+    here = np.array([3 * 10**15, 10**15, 7])
+    got = np.array([mixing.split(here, 10**15, np.random.default_rng(k)) for k in range(400)])
+    assert (got.sum(axis=1) == 10**15).all() and len(set(got[:, 1].tolist())) == 400
+    # variance of the hypergeometric: n p q (N - n) / (N - 1)
+    assert 0.85 < got[:, 1].std() / np.sqrt(10**15 * 0.25 * 0.75 * 0.75) < 1.15
+    assert mixing.split(here, 0, np.random.default_rng(0)).sum() == 0 and (mixing.split(here, 10**17, np.random.default_rng(0)) == here).all()
+    known = {}
+    assert [(a.tolist(), b.tolist()) for a, b in (mixing.shard_counts(here, 10**13, s, known=known) for s in (5, 6, 10**12))] == [(a.tolist(), b.tolist()) for a, b in (mixing.shard_counts(here, 10**13, s) for s in (5, 6, 10**12))]
+
+
 TARGETS = "source string, target_share double, max_repeats int"
 
 

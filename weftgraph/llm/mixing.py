@@ -1,16 +1,18 @@
-"""Mixing sources to target weights: packed blocks, hypergeometric shard counts, pseudorandom index permutations.
+"""Mixing sources to target weights: packed blocks, multinomial shard counts, pseudorandom index permutations.
 
 Each source's documents are one stream of tokens, cut into blocks of a fixed length. The output is a number of shards
-of slots; how many slots of a shard fall to each source is drawn at random, so that shards vary as a multinomial draw
-does but all shards together hit the targets exactly. The draw is a binary tree over the shards: at a node the sources'
-slot totals are split by a multivariate hypergeometric draw seeded with the node, so that any task finds its shard's
-counts, and how many slots of each source lie before it, in log2(shards) steps without a word from any other task. The
-k-th slot of a source takes block perm(k mod n) of its epoch k div n, where perm is a keyed Feistel permutation that
-differs from epoch to epoch. Blocks are joined by (source, index).
+of slots; the source counts of a shard are a multinomial draw, given that all shards together hit the targets (and so
+the repeat caps) exactly. The draw is a binary tree over the shards: at a node each source's slots fall to the left or
+the right by a binomial draw seeded with the node, accepted so that the left side has its size (``split``); any task
+finds its shard's counts, and how many slots of each source lie before it, in log2(shards) steps without a word from
+any other task. The k-th slot of a source takes block perm(k mod n) of its epoch k div n, where perm is a keyed Feistel
+permutation that differs from epoch to epoch. Blocks are joined by (source, index), always by a shuffle: both sides
+grow with the corpus.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,10 @@ from weftgraph.session import written
 BLOCK_TOKENS = 512
 SLOTS_PER_SHARD = 256
 SEED = 20240229
-#: Parts of a source's stream whose sizes are summed separately, so that no task orders a whole source.
+#: Parts of a source's stream whose sizes are summed separately, so that no task orders a whole source: at least so many,
+#: and one for so many documents of the table.
 PARTS = 512
+DOCS_PER_PART = 100_000
 
 
 def source_name(col: str) -> F.Column:
@@ -44,10 +48,11 @@ def sized(documents: DataFrame, targets: DataFrame, vocabulary: str = tokenize.V
 def placed(docs: DataFrame) -> DataFrame:
     """(doc_id, source, n_tokens, first): where each document's tokens begin in its source's stream.
 
-    Two levels of prefix sums: over the documents of a part, and over the PARTS parts of a source. A part is a range of
-    hashes of ids; the hash also orders the stream.
+    Two levels of prefix sums: over the documents of a part, and over the parts of a source, whose number grows with the
+    table. A part is a class of hashes of ids; the hash also orders the stream.
     """
-    h = docs.withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int"))
+    n_parts = max(PARTS, -(-docs.count() // DOCS_PER_PART))  # of a written table: read from its footers
+    h = docs.withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod("h", F.lit(n_parts)).cast("int"))
     before = Window.partitionBy("source", "part").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     inner = h.withColumn("inner", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     parts = h.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
@@ -108,22 +113,52 @@ def plan(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
     return p
 
 
-def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def _log_factorials(a: int, b: int) -> float:
+    """log(a! / b!) without cancellation, for counts of any size."""
+    if max(a, b) < 1000:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    z, d = b + 1.0, float(a - b)
+    return d * math.log(z) + (z + d - 0.5) * math.log1p(d / z) - d + (1 / (z + d) - 1 / z) / 12
+
+
+def split(here: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source's slots are among the ``left`` slots of a node's left side.
+
+    Each source draws Binomial(its slots, left / all slots); the largest source takes what is missing, and the draw is
+    kept with the probability of that number against its likeliest one. So the kept counts are exactly the independent
+    binomials, that is the multinomial draw, given their sum. Counts are 64-bit; no size has another rule.
+    """
+    total = int(here.sum())
+    if left <= 0 or left >= total:
+        return here.copy() if left >= total else np.zeros_like(here)
+    p, last = left / total, int(here.argmax())
+    n = int(here[last])
+    top = min(n, int((n + 1) * p))
+    odds = math.log(p) - math.log1p(-p)
+    while True:
+        x = rng.binomial(here, p)
+        m = left - int(x.sum()) + int(x[last])
+        if 0 <= m <= n and math.log(1.0 - rng.random()) <= (m - top) * odds - _log_factorials(m, top) - _log_factorials(n - m, n - top):
+            x[last] = m
+            return x
+
+
+def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int = SEED, known: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(slots of each source before the shard, slots of each source in it); all shards but the last have SLOTS_PER_SHARD.
 
-    Totals of a node of 10^9 slots or more, beyond the draw's range, are split in proportion, which is its mean.
+    ``known`` keeps the splits of the nodes passed, for the next shard of the same task.
     """
     before, here = np.zeros(len(slots), np.int64), np.asarray(slots, np.int64)
     low, high, node = 0, shards, 1
     while high - low > 1:
         mid = (low + high + 1) // 2
-        left = min(int(here.sum()), (mid - low) * SLOTS_PER_SHARD)
-        if here.sum() < 1_000_000_000:
-            take = np.random.default_rng([seed, node]).multivariate_hypergeometric(here, left, method="marginals")
-        else:
-            exact = here * (left / here.sum())
-            take = np.floor(exact).astype(np.int64)
-            take[np.argsort(take - exact, kind="stable")[: left - int(take.sum())]] += 1
+        take = known.get(node) if known is not None else None
+        if take is None:
+            take = split(here, min(int(here.sum()), (mid - low) * SLOTS_PER_SHARD), np.random.default_rng([seed, node]))
+            if known is not None:
+                if len(known) > 10_000:
+                    known.clear()
+                known[node] = take
         if shard < mid:
             here, high, node = take, mid, 2 * node
         else:
@@ -155,9 +190,10 @@ def slots(spark, p: pd.DataFrame, seed: int = SEED) -> DataFrame:
     shards = int(-(-totals.sum() // SLOTS_PER_SHARD))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}
         for pdf in batches:
             for shard in pdf["id"].tolist():
-                before, here = shard_counts(totals, shards, shard, seed)
+                before, here = shard_counts(totals, shards, shard, seed, known)
                 of = np.repeat(np.arange(len(names)), here)
                 k = np.concatenate([np.arange(b, b + c) for b, c in zip(before, here)])
                 n = blocks[of]
@@ -183,7 +219,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     blocks = fragments(docs).groupBy("source", "block").agg(
         F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("at", "doc_id", "start", "n"))).alias("parts")
     )
-    return slots(documents.sparkSession, p).join(blocks, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "parts")
+    # the planner takes a shard number for the size of its slots, so the kind of the join is not left to it
+    return slots(documents.sparkSession, p).hint("merge").join(blocks, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "parts")
 
 
 def shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -197,7 +234,7 @@ def shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     spark = documents.sparkSession
     blocks = fragments(docs).groupBy("source", "block").agg(F.sum("n").alias("n"))
     used = slots(spark, p).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    got = used.join(blocks, ["source", "block"]).groupBy("source").agg(F.sum("times").alias("n_slots"), F.sum(F.col("times") * F.col("n")).alias("mixed_tokens"), F.max("times").alias("most_repeats"))
+    got = used.hint("merge").join(blocks, ["source", "block"]).groupBy("source").agg(F.sum("times").alias("n_slots"), F.sum(F.col("times") * F.col("n")).alias("mixed_tokens"), F.max("times").alias("most_repeats"))
     n_docs = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     base = spark.createDataFrame(p[["source", "target_share", "share", "max_repeats", "n_tokens"]], "source string, target_share double, share double, max_repeats int, n_tokens bigint")
     whole = Window.partitionBy()  # over as many rows as there are targets
