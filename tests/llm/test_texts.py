@@ -169,6 +169,29 @@ def test_foreign_files(spark):
     assert h["red-api"] == (14, 8, 9)
 
 
+def test_small_and_deep_files_count_through_their_directories(spark):
+    def tree(repo, first, at, small="DEPTH = 3\n"):
+        return [(first, repo, f"{at}/one.py", CODE.format("s1")), (first + 1, repo, f"{at}/two.py", CODE.format("s2")), (first + 2, repo, f"{at}/sub/tiny.py", small), (first + 3, repo, f"{at}/cfg.json", "{}"), (first + 4, repo, f"{at}/__init__.py", "")]
+
+    deep = "/".join(f"d{i}" for i in range(50))
+    files = [*tree("red-api", 1, "vendor/p"), *tree("blue-web", 11, deep), (21, "green", "a/tiny.py", "DEPTH = 3\n"), (22, "green", "a/b.py", CODE.format("g"))]
+    got = {r["file_id"]: r["kind"] for r in provenance.foreign(spark.createDataFrame(files, SRC), spark.createDataFrame([], TP)).collect()}
+    # the same few characters elsewhere prove nothing; .json and empty files are no case
+    assert got == {i: "vendored" for i in (1, 2, 3, 11, 12, 13)}
+    other = [*tree("red-api", 1, "vendor/p"), *tree("blue-web", 11, deep, "DEPTH = 4\n")]
+    got = {r["file_id"] for r in provenance.foreign(spark.createDataFrame(other, SRC), spark.createDataFrame([], TP)).collect()}
+    assert got == {1, 2, 11, 12}  # a tree that differs in a small file is another tree
+    kin = provenance.foreign(spark.createDataFrame(files, SRC), spark.createDataFrame([], TP), related=lambda repo: "one house")
+    assert kin.collect() == []
+
+
+def test_tables_are_judged_over_the_whole_text():
+    rows = "".join(f"n{i},{i},x\n" for i in range(2000))
+    assert provenance.is_table(rows) and provenance.is_table("a(b),1,x\n" + rows) and not provenance.is_table("a,b\n" * 4)
+    code = "".join(f"f{i}(a, b)\n" for i in range(3000))
+    assert not provenance.is_table(rows + code) and not provenance.is_table(code)
+
+
 def test_foreign_files_of_empty_tables(spark):
     assert provenance.foreign(spark.createDataFrame([], SRC), spark.createDataFrame([], TP)).collect() == []
     assert provenance.foreign(spark.createDataFrame([(1, "a", "b.py", CODE.format("x"))], SRC), spark.createDataFrame([], TP)).collect() == []

@@ -2,9 +2,11 @@
 
 Vendored code is found by Merkle hashes, computed bottom-up: blocks of a file, the file over its blocks, directories
 over their children. A hash that occurs in unrelated repositories, or in a package of the reference table, marks
-outside code: a whole subtree, a whole file, or, for patched copies, most of a file's blocks. Combining children by
-sums of mixed hashes keeps every level algebraic, so a directory or block that a third of all files share is no group
-in one task, only a partial sum per map task.
+outside code: a whole subtree, a whole file, or, for patched copies, most of a file's blocks. Every file, block and directory is
+hashed, however small; how much a shared one shows is a matter of its weight, since two hands write a short block alike
+by chance. Combining children by sums of mixed hashes, and families by least and greatest hash, keeps every level
+algebraic and numeric, so a directory or block that a third of all files share is no group in one task, only a partial
+sum per map task.
 
 Generated, minified and data files follow from a file's header and layout alone, in the same scan that makes the blocks.
 """
@@ -15,21 +17,22 @@ import hashlib
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.session import written
 
-#: Characters that a block must have to be evidence, and a file to be evidence as a whole.
-BLOCK_CHARS = 60
-FILE_CHARS = 150
-#: Share of a file's evidence that must come from outside.
+#: A text of n characters weighs n^2 / (n + SHORT): long ones nearly n, short ones next to nothing.
+SHORT = 60
+#: Share of a file's weight that must come from outside, and the least weight of a file, or of a directory's files, for a verdict.
 OUTSIDE_SHARE = 0.5
-OUTSIDE_CHARS = 100
-MAX_DEPTH = 40
+EVIDENCE = 70
+#: The family of the package table.
+PACKAGES = 0
+KINDS = ("data", "generated", "minified")
 
 COMMENT = re.compile(r"\s*(?:#!(?P<bang>[^\n]*)\n|(?:(?://|#)[^\n]*(?:\n|$))|/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''|<!--.*?-->)", re.S)
 # How tools mark what they wrote, in the six languages. A sentence on what the code itself generates
@@ -45,14 +48,17 @@ MARKS = re.compile(
     re.IGNORECASE | re.MULTILINE,
 )
 BUNDLED_NAME = re.compile(r"[.\-_](min|bundle|packed|prod)\.[mc]?js$", re.IGNORECASE)
-LITERAL = re.compile(
-    r"(?P<doc>\"\"\".*?\"\"\"|'''.*?'''|/\*.*?\*/|//[^\n]*|^\s*#[^\n]*)|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<num>\b0x[0-9a-fA-F]+\b|\b\d[\d.eE_]*\b)|(?P<word>[^\W\d]\w*)|(?P<op>[^\w\s,])",
+QUOTED = re.compile(
+    r"(?P<doc>\"\"\".*?\"\"\"|'''.*?'''|/\*.*?\*/|//[^\n]*|^\s*#[^\n]*)|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)",
     re.S | re.M,
 )
-LAST_NUMBER = re.compile(r"(\d+)\D*$")
+NUMBERS = re.compile(r"\b(?:0x[0-9a-fA-F]+|\d[\d.eE_]*)\b")
+INK = re.compile(r"[^\s,]+")
+CODE_LINE = re.compile(r"[{}()]|=>|==|;\s*$")
+RUNNING = re.compile(r"(?<=[A-Za-z_])(\d{2,})\b")
 
 
-def family(repo: str) -> str:
+def family(repo: str | None) -> str:
     """Repositories are related if they share the part of the name before the first - or /; those without a name are."""
     return re.split(r"[-/]", repo or "", maxsplit=1)[0] or "?"
 
@@ -111,30 +117,36 @@ def is_minified(text: str, path: str) -> bool:
 
 def literal_share(text: str) -> tuple[float, float, int]:
     """(share of literals, share of numbers and long unbroken strings, characters) of a text without comments and white space."""
-    literal = bulk = total = 0
-    for m in LITERAL.finditer(text):
-        n = len(m[0])
-        kind = m.lastgroup
-        if kind == "doc":
-            continue
-        total += n
-        if kind == "str":
+    literal = bulk = total = at = 0
+    bare_parts = []
+    for m in QUOTED.finditer(text):
+        bare_parts.append(text[at : m.start()])
+        at = m.end()
+        if m.lastgroup == "str":
+            n = m.end() - m.start()
             literal += n
+            total += n
             if n > 120 and not re.search(r"\s", m[0]):
                 bulk += n
-        elif kind == "num":
-            literal += n
-            bulk += n
+    bare_parts.append(text[at:])
+    rest = "\n".join(bare_parts)
+    total += sum(map(len, INK.findall(rest)))
+    numbers = sum(map(len, NUMBERS.findall(rest)))
+    literal, bulk = literal + numbers, bulk + numbers
     return (literal / total, bulk / total, total) if total else (0.0, 0.0, 0)
 
 
 def is_table(text: str) -> bool:
-    """Comma, semicolon or tab separated values: nearly all of at least five lines have the same number of them, and no code."""
+    """Comma, semicolon or tab separated values: nearly all of at least five lines have the same number of them, hardly one is code."""
     lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) < 5 or re.search(r"[{}();]|=>|==", text[:4000]):
-        lines = [x for x in lines if x] if len(lines) >= 5 and not re.search(r"[{}()=]", "".join(lines)) else []
     if len(lines) < 5:
         return False
+    code, most_code = 0, 0.05 * len(lines)
+    for x in lines:
+        if CODE_LINE.search(x):
+            code += 1
+            if code > most_code:
+                return False
     for sep in ",;\t|":
         n = Counter(x.count(sep) for x in lines)
         most, often = n.most_common(1)[0]
@@ -160,17 +172,14 @@ def is_data(text: str) -> bool:
 
 def is_stamped_out(text: str) -> bool:
     """A layout that no hand writes: most blocks repeat a few shapes, and their running numbers count up."""
-    shapes: list[tuple[str, int | None]] = []
-    for b in blocks(text):
-        first = b.split("\n", 1)[0]
-        n = re.findall(r"(?<=[A-Za-z_])(\d{2,})\b", first)
-        shapes.append((re.sub(r"\w+", "w", b), int(n[0]) if n else None))
-    if len(shapes) < 5:
+    own = blocks(text)
+    found = [RUNNING.search(b.split("\n", 1)[0]) for b in own]
+    numbers = [int(m[1]) for m in found if m]
+    if len(numbers) < 5:
         return False
-    numbered = [(s, n) for s, n in shapes if n is not None]
-    rising = sum(1 for (_, a), (_, b) in zip(numbered, numbered[1:]) if b in (a, a + 1))
-    few = sum(n for _, n in Counter(s for s, _ in numbered).most_common(4))
-    return len(numbered) >= 5 and few >= 0.6 * len(shapes) and rising >= 0.8 * (len(numbered) - 1)
+    rising = sum(1 for a, b in zip(numbers, numbers[1:]) if b in (a, a + 1))
+    few = sum(n for _, n in Counter(re.sub(r"\w+", "w", b) for b, m in zip(own, found) if m).most_common(4))
+    return few >= 0.6 * len(own) and rising >= 0.8 * (len(numbers) - 1)
 
 
 def lines_stamped_out(text: str) -> bool:
@@ -196,95 +205,122 @@ def kind_by_layout(path: str, text: str) -> str | None:
     return None
 
 
-def leaves(files: DataFrame, packages: bool = False) -> DataFrame:
-    """(file_id, repo, family, path, kind, chars, file_key, blocks array<struct<k, n>>) of files with text; one scan.
+def mixed(name: str) -> int:
+    return key(name) or 1
+
 
-    .json files are no case and get no kind. Blocks shorter than BLOCK_CHARS are no evidence and are left out.
+def leaves(files: DataFrame, packages: bool = False, related: Callable[[str | None], str] = family) -> DataFrame:
+    """(file_id, repo, family, path, judged, kind, chars, file_key, blocks array<struct<k, n>>) of files with text; one scan.
+
+    family is the hash of what ``related`` makes of the repository's name, PACKAGES for packages; kind an index of KINDS.
+    .json files and markup are hashed like all others, but carry no weight and are not judged.
     """
-    schema = "file_id bigint, repo string, family string, path string, kind string, chars int, file_key bigint, blocks array<struct<k:bigint,n:int>>"
+    schema = "file_id bigint, repo string, family bigint, path string, judged boolean, kind int, chars int, file_key bigint, blocks array<struct<k:bigint,n:int>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, str], tuple] = {}  # copies that meet in a task are read once
+        families: dict[str | None, int] = {}
         for pdf in batches:
             rows = []
             for i, repo, path, text in zip(pdf["file_id"], pdf["repo"], pdf["path"], pdf["text"]):
                 path = path or ""
-                if path.lower().endswith(".json"):
-                    continue
-                b = blocks(text)
-                whole = "\n".join(b)
-                mark = is_markup(text)
-                own = [] if mark else [{"k": key(x), "n": len(x)} for x in set(b) if len(x) >= BLOCK_CHARS]
-                rows.append((i, repo, "" if packages else family(repo), path, None if packages else kind_by_layout(path, text), 0 if mark else len(whole), key(whole), own))
-            yield pd.DataFrame(rows, columns=["file_id", "repo", "family", "path", "kind", "chars", "file_key", "blocks"])
+                end = path.lower().rpartition(".")[2] + ("!" if BUNDLED_NAME.search(path) else "")
+                at = (hash(text), len(text), end)
+                got = seen.get(at)
+                if got is None:
+                    b = blocks(text)
+                    whole = "\n".join(b)
+                    plain = end == "json" or is_markup(text)
+                    kind = None if packages or plain else kind_by_layout(path, text)
+                    own = [] if plain else [{"k": key(x), "n": len(x)} for x in set(b)]
+                    got = (end != "json", None if kind is None else KINDS.index(kind), 0 if plain else len(whole), key(whole), own)
+                    if len(seen) > 20_000:
+                        seen.clear()
+                    seen[at] = got
+                if repo not in families:
+                    families[repo] = PACKAGES if packages else mixed(related(repo))
+                rows.append((i, repo, families[repo], path, *got))
+            yield pd.DataFrame(rows, columns=["file_id", "repo", "family", "path", "judged", "kind", "chars", "file_key", "blocks"]).astype({"kind": "Int32"})
 
     return files.where("text is not null and file_id is not null").select("file_id", "repo", "path", "text").mapInPandas(run, schema)
 
 
+def weight(n: Column) -> Column:
+    return n.cast("double") * n / (n + F.lit(SHORT))
+
+
 def outside(keys: DataFrame) -> DataFrame:
-    """(k) of the hashes that packages hold or that unrelated repositories share; ``keys`` has (k, family), the packages' family is ''.
+    """(k) of the hashes that packages hold or that unrelated repositories share; ``keys`` has (k, family).
 
-    min and max of the families are enough, so the counts of a hash shared by a third of all files combine map-side.
+    The least and greatest family are enough, so the counts of a hash shared by a third of all files combine map-side.
     """
     g = keys.groupBy("k").agg(F.min("family").alias("a"), F.max("family").alias("b"))
-    return g.where("a <> b or a = ''").select("k")
+    return g.where(f"a <> b or a = {PACKAGES}").select("k")
 
 
 def subtrees(files: DataFrame) -> DataFrame:
-    """(repo, dir, k, family, n, chars): the Merkle hash of every directory over the hashes of its files and directories.
+    """(repo, dir, k, family, n, weight): the Merkle hash of every directory over the hashes of its files and directories.
 
     A directory's hash mixes the sum of its children's mixed hashes with their number: order-free and algebraic. Levels
-    are made from the deepest up, each written once and read by the level above it.
+    are made from the deepest up, however deep, each written once and read by the level above it. Repeated rows of a
+    file count once. ``files`` has (repo, path, file_key, chars) and, where it isn't the repository itself, family.
     """
     at = F.regexp_replace("path", r"/?[^/]*$", "")
-    level = written(files.select("repo", at.alias("dir"), F.col("file_key").alias("k"), F.col("chars").cast("bigint").alias("chars"), F.when(at == "", 0).otherwise(F.size(F.split(at, "/"))).alias("depth")), "files")
-    deepest = min(level.agg(F.max("depth")).first()[0] or 0, MAX_DEPTH)
+    of = F.col("family") if "family" in files.columns else F.xxhash64("repo")
+    one = files.select("repo", "path", of.alias("family"), F.col("file_key").alias("k"), weight(F.col("chars")).alias("weight")).distinct()
+    level = written(one.select("repo", at.alias("dir"), "family", "k", "weight", F.when(at == "", 0).otherwise(F.size(F.split(at, "/"))).alias("depth")), "files")
+    deepest = level.agg(F.max("depth")).first()[0] or 0
     done: list[DataFrame] = []
     above: DataFrame | None = None
     for d in range(deepest, 0, -1):
-        here = level.where(F.col("depth") == d if d < MAX_DEPTH else F.col("depth") >= d).select("repo", "dir", "k", "chars", F.lit(1).cast("bigint").alias("n"))
+        here = level.where(F.col("depth") == d).select("repo", "dir", "family", "k", "weight", F.lit(1).cast("bigint").alias("n"))
         if above is not None:
             here = here.unionByName(above)
-        mixed = F.xxhash64(F.sum(F.xxhash64("k").bitwiseAND(F.lit((1 << 40) - 1))), F.count(F.lit(1)))
-        g = written(here.groupBy("repo", "dir").agg(mixed.alias("k"), F.sum("chars").alias("chars"), F.sum("n").alias("n")), "tree")
+        hashed = F.xxhash64(F.sum(F.xxhash64("k").bitwiseAND(F.lit((1 << 40) - 1))), F.count(F.lit(1)))
+        g = written(here.groupBy("repo", "dir").agg(hashed.alias("k"), F.min("family").alias("family"), F.sum("weight").alias("weight"), F.sum("n").alias("n")), "tree")
         done.append(g)
-        above = g.select("repo", F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"), "k", "chars", "n")
-    out = done[0] if done else level.select("repo", "dir", "k", "chars", F.lit(0).cast("bigint").alias("n")).limit(0)
+        above = g.select("repo", F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"), "family", "k", "weight", "n")
+    out = done[0] if done else level.select("repo", "dir", "k", "family", "weight", F.lit(0).cast("bigint").alias("n")).limit(0)
     for g in done[1:]:
         out = out.unionByName(g)
-    return out.withColumn("family", F.coalesce(F.nullif(F.element_at(F.split("repo", "[-/]"), 1), F.lit("")), F.lit("?")))
+    return out
 
 
-def foreign(files: DataFrame, third_party: DataFrame) -> DataFrame:
+def foreign(files: DataFrame, third_party: DataFrame, related: Callable[[str | None], str] = family) -> DataFrame:
     """(file_id, kind) of every file that wasn't written by hand: kind is generated, minified, data or vendored.
 
     Repeated rows of a file are one file; null and empty texts, .json files and markup are no case. ``files`` has
     (file_id, repo, file_path, text), ``third_party`` (item_id, package, file_name, text); either may be empty.
+    ``related`` names the family of a repository: code that only its family shares is its own.
     """
     own = files.select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("file_path", F.lit("")).alias("path"), "text")
-    mine = written(leaves(own), "leaves").dropDuplicates(["file_id", "file_key"])
-    refs = leaves(third_party.select(F.col("item_id").alias("file_id"), F.col("package").alias("repo"), F.col("file_name").alias("path"), "text"), packages=True)
+    mine = written(leaves(own, related=related), "leaves")
+    refs = written(leaves(third_party.select(F.col("item_id").alias("file_id"), F.col("package").alias("repo"), F.col("file_name").alias("path"), "text"), packages=True), "packages")
     both = mine.unionByName(refs)
 
-    big = F.col("chars") >= FILE_CHARS
-    shared_files = outside(both.where(big).select(F.col("file_key").alias("k"), "family"))
-    whole = mine.where(big).join(shared_files, F.col("file_key") == F.col("k"), "left_semi").select("file_id")
+    weighty = weight(F.col("chars")) >= EVIDENCE
+    shared_files = outside(both.where(weighty).select(F.col("file_key").alias("k"), "family"))
+    whole = mine.where(weighty).select("file_id", F.col("file_key").alias("k")).join(shared_files, "k", "left_semi").select("file_id")
 
-    spread = both.select("file_id", "family", F.explode("blocks").alias("b")).select("file_id", "family", F.col("b.k").alias("k"), F.col("b.n").alias("n"))
+    spread = both.select("file_id", "family", F.posexplode("blocks").alias("at", "b")).select("file_id", "family", "at", F.col("b.k").alias("k"), weight(F.col("b.n")).alias("w"))
     from_outside = outside(spread.select("k", "family")).withColumn("out", F.lit(1))
     mass = (
-        spread.where("family <> ''").join(from_outside, "k", "left").groupBy("file_id")
-        .agg(F.sum("n").alias("all"), F.sum(F.when(F.col("out") == 1, F.col("n")).otherwise(0)).alias("foreign"))
+        spread.where(f"family <> {PACKAGES}").join(from_outside, "k", "left").groupBy("file_id")
+        .agg(F.sum("w").alias("all"), F.sum(F.when(F.col("out") == 1, F.col("w")).otherwise(0)).alias("foreign"), F.count_if(F.col("at") == 0).alias("copies"))
     )
-    patched = mass.where((F.col("foreign") >= F.col("all") * OUTSIDE_SHARE) & (F.col("foreign") >= OUTSIDE_CHARS)).select("file_id")
+    patched = mass.where((F.col("foreign") >= F.col("all") * OUTSIDE_SHARE) & (F.col("foreign") >= F.col("copies") * EVIDENCE)).select("file_id")
 
-    trees = subtrees(mine.where(big)).where("n >= 2")
-    shared_dirs = trees.join(outside(trees.select("k", "family")), "k", "left_semi").select("repo", "dir").distinct()
+    trees = written(subtrees(mine).where((F.col("n") >= 2) & (F.col("weight") >= EVIDENCE)), "trees")
+    shared_dirs = trees.join(outside(trees.select("k", "family")), "k", "left_semi").select("repo", "dir")
     above = mine.select("file_id", "repo", F.explode(F.expr("transform(sequence(1, greatest(1, size(split(path, '/')) - 1)), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("dir"))
     under = above.join(shared_dirs, ["repo", "dir"], "left_semi").select("file_id")
 
-    vendored = whole.unionByName(patched).unionByName(under).distinct().withColumn("v", F.lit(True))
-    kinds = mine.groupBy("file_id").agg(F.min("kind").alias("kind"))
-    return kinds.join(vendored, "file_id", "left").select("file_id", F.coalesce("kind", F.when(F.col("v"), F.lit("vendored"))).alias("kind")).where("kind is not null")
+    vendored = whole.unionByName(patched).unionByName(under).select("file_id", F.lit(len(KINDS)).alias("kind"))
+    # a file of text without a case may lie in a shared directory: empty ones and markup stay out
+    judged = mine.where("judged and (chars > 0 or kind is not null)").select("file_id", "kind", F.lit(True).alias("judged"))
+    least = judged.unionByName(vendored.withColumn("judged", F.lit(False))).groupBy("file_id").agg(F.min("kind").alias("kind"), F.max("judged").alias("judged"))
+    names = F.array(*(F.lit(k) for k in (*KINDS, "vendored")))
+    return least.where("judged and kind is not null").select("file_id", F.get(names, F.col("kind")).alias("kind"))
 
 
 def handwritten(files: DataFrame, third_party: DataFrame, summaries: DataFrame) -> DataFrame:
