@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from weftgraph.session import written
 
 #: A text of n characters weighs n^2 / (n + SHORT): long ones nearly n, short ones next to nothing.
-SHORT = 60
+SHORT = 100
 #: Share of a file's weight that must come from outside, and the least weight of a file, or of a directory's files, for a verdict.
-OUTSIDE_SHARE = 0.5
-EVIDENCE = 70
+OUTSIDE_SHARE = 0.4
+EVIDENCE = 100
 #: The family of the package table.
 PACKAGES = 0
 KINDS = ("data", "generated", "minified")
