@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 def pair_counts(rows: DataFrame, key: str, partner: str, *rest: str) -> DataFrame:
     """(key, n_rows, n_partners): distinct rows of (key, partner, *rest) and distinct partners of each key.
 
-    One exchange on (partner, key) serves both distinct steps, since its partitioning also clusters by
-    (partner, key, *rest); then one partial row per key and task is shuffled. Rows with a null key are left out
-    (null is no key); a null partner is not counted as a partner but its row counts.
+    Every step folds map-side before its rows are shuffled: repeats of a row within a task are one row, then the rows of
+    a (key, partner), then one partial row per key and task. Rows with a null key are left out (null is no key); a null
+    partner is not counted as a partner but its row counts.
     """
-    r = rows.where(F.col(key).isNotNull()).select(partner, key, *rest).repartition(F.col(partner), F.col(key))
+    r = rows.where(F.col(key).isNotNull()).select(partner, key, *rest)
     one = r.groupBy(partner, key, *rest).agg(F.lit(1).alias("__one"))
     pairs = one.groupBy(partner, key).agg(F.count(F.lit(1)).alias("__n"))
     return pairs.groupBy(key).agg(F.sum("__n").alias("n_rows"), F.count(partner).alias("n_partners"))
