@@ -177,3 +177,19 @@ def test_cleaning_and_upserts(spark):
     assert G.find_by_name(g, "x").first()["id"] == 1 and G.find_by_name(g, "x", "b").first()["id"] == 2
     ids = [r["external_id"] for r in G.stable_ids(g.nodes).collect()]
     assert len(set(ids)) == 2 and all(len(i) == 23 for i in ids)
+
+
+def test_repositories_are_kept_apart(spark):
+    rows = [(1, "a", "function", "f", "src/x.py", 1, 2, None, "observed", None, None), (2, "b", "function", "f", "src/x.py", 1, 2, None, "observed", None, None), (3, None, "function", "f", "src/x.py", 1, 2, None, "observed", None, None)]
+    g = PropertyGraph(spark.createDataFrame(rows, N), spark.createDataFrame([(1, 2, "calls", "EXTRACTED"), (2, 2, "calls", "EXTRACTED")], E))
+    left = G.remove_files(g, spark.createDataFrame([("a", "src/x.py")], "repo string, file_path string"))
+    assert sorted(r["id"] for r in left.nodes.collect()) == [2, 3] and [tuple(r)[:2] for r in left.edges.collect()] == [(2, 2)]
+    none = G.remove_files(g, spark.createDataFrame([(None, "src/x.py")], "repo string, file_path string"))
+    assert sorted(r["id"] for r in none.nodes.collect()) == [1, 2] and none.edges.count() == 2
+    assert G.remove_files(g, spark.createDataFrame([("src/x.py",)], "file_path string")).nodes.count() == 0
+    ids = {r["id"]: r["external_id"] for r in G.stable_ids(g.nodes).collect()}
+    assert len(set(ids.values())) == 3
+    R = "repo string, file_path string, kind string, owner string, target string"
+    one = spark.createDataFrame([("a", "x.py", "call", "f", "g")], R)
+    both = G.insert_references(one, spark.createDataFrame([("b", "x.py", "call", "f", "g"), ("a", "x.py", "call", "f", "g")], R))
+    assert sorted(r["repo"] for r in both.collect()) == ["a", "b"]

@@ -45,6 +45,24 @@ def test_scans_read_only_what_is_used(stored):
 
 def test_hot_key_counts_combine_before_they_shuffle(spark, data):
     plan = plan_of(hot_keys.pair_counts(table(spark, data, "edges"), "dst", "src", "kind"))
-    assert plan.count("Exchange hashpartitioning") == 2
-    last = plan.index("Exchange hashpartitioning(dst")
-    assert "partial_sum" in plan[last:] and "ReadSchema: struct<src:bigint,dst:bigint,kind:string>" in plan
+    assert plan.count("Exchange hashpartitioning") == 3 and "ReadSchema: struct<src:bigint,dst:bigint,kind:string>" in plan
+    # no raw row is shuffled: below each exchange stands an aggregate of the same task
+    lines = plan.split("\n")
+    assert all("HashAggregate" in lines[k + 1] for k, x in enumerate(lines) if "Exchange hashpartitioning" in x)
+
+
+def test_loops_clean_their_edges_once(spark, data):
+    from weftgraph.operators import graph_algos as A
+
+    g = load(spark, data)
+    seeds = g.nodes.where("kind = 'endpoint'").selectExpr("0L as root", "id")
+    # what comes back reads rounds that were written, never the raw edges
+    assert "edges.parquet" not in plan_of(A.reach(A.against(g), seeds, 3))
+
+
+def test_searches_tokenise_once(spark, data):
+    from weftgraph.operators import retrieval as R
+
+    n = load(spark, data).nodes.select("id", "name", "description")
+    found = R.search(n, n.where("id < 20").selectExpr("id as query_id", "name as text"))
+    assert plan_of(found).count("Generate explode(concat") == 0

@@ -117,7 +117,7 @@ def test_artifacts(spark):
     nodes, refs = artifacts.contracts(files)
     assert {(r["kind"], r["name"]) for r in nodes.collect()} == {("schema", "Order"), ("endpoint", "GET /orders/{id}")}
     assert {(r["kind"], r["target"]) for r in refs.where("kind = 'schema_ref'").collect()} == {("schema_ref", "Order"), ("schema_ref", "Line")}
-    assert "get_order" in refs.where("kind = 'operation'").first()["target"]
+    assert refs.where("kind = 'operation'").first()["target"] == '["getOrder"]'
 
 
 def test_walk_documents_and_ignore(spark, tmp_path):

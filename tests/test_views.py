@@ -83,6 +83,29 @@ def test_areas(spark):
     assert {r["id"]: r["community"] for r in V.fold_tiny(g, tiny).collect()} == {**{i: 0 for i in a}, **{i: 1 for i in b}}
 
 
+def test_areas_have_names_of_their_own(spark):
+    nodes = [(i, "r", "function", f"n{i}", f, None, "observed") for i, f in ((1, "src/a.rs"), (2, "src/a.rs"), (3, "src/b.rs"), (4, "src/c.rs"), (5, "src/b.rs"), (6, "lib/third_party/x.rs"), (7, "src/b.rs"), (8, "web/app.min.js"))]
+    g = build(spark, nodes, [])
+    groups = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, 11), (5, 12), (7, 13), (6, 14), (8, 14)], "id bigint, community bigint")
+    assert {r["community"]: r["area"] for r in V.distinct_area_names(g, groups).collect()} == {10: "src", 11: "src/b.rs", 12: "src/b.rs #12", 13: "src/b.rs #13"}
+
+
+def test_fixed_vocabularies(spark):
+    paths = ["tests/a.py", "src/tests/a.py", "src/test_a.py", "src/a_test.go", "a.test.ts", "a.spec.js", "src/contest.py", "src/testing/a.py"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] for r in df.select(X.is_test_file(F.col("p"))).collect()] == [True] * 6 + [False] * 2
+    v = spark.createDataFrame([(p,) for p in ("vendor/a.js", "a/Third_Party/b.c", "x.min.js", "vendors/a.js", "dist/a.js")], "p string")
+    assert [r[0] for r in v.select(X.is_vendored(F.col("p"))).collect()] == [True, True, True, False, False]
+    words = spark.range(1).select(R.word_set(F.lit("How does the parse_all of NODES work on a graph with edges?")).alias("w")).first()["w"]
+    assert words == ["edges", "graph", "nodes", "parse_all", "work"]
+    f = spark.createDataFrame([(1, "r", "a.py", "x\n  # WHY: it is slow \n# TODO: later\nHACK: y")], "file_id bigint, repo string, file_path string, text string")
+    assert [(r["line"], r["text"]) for r in V.why_hack(f).collect()] == [(2, "# WHY: it is slow"), (4, "HACK: y")]
+    from weftgraph.sources.artifacts import handler_names
+
+    assert handler_names("get", "/orders/{id}", None) == ["getOrders", "getOrder", "findOrders", "findOrder", "fetchOrders", "fetchOrder", "showOrders", "showOrder"]
+    assert handler_names("put", "/x/box", None) == ["updateBox", "editBox", "patchBox"] and handler_names("get", "/", None) == [] and handler_names("get", "/a", "readIt") == ["readIt"]
+
+
 def test_numbering_needs_no_single_task(spark):
     rows = [(random.Random(i).randrange(40), i) for i in range(500)]
     got = {(r["a"], r["b"]): r["number"] for r in V.numbered(spark.createDataFrame(rows, "a int, b int").repartition(7), F.col("a").desc(), F.col("b").asc()).collect()}

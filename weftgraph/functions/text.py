@@ -44,14 +44,19 @@ def shared_prefix_len(a: Column, b: Column) -> Column:
     return F.when(first_other == 0, F.size(same)).otherwise(first_other - 1).cast("int")
 
 
+# How paths of tests and of bundled code look, in lower case.
+TEST_PATH = r"(^|/)tests/|test_|_test\.|\.test\.|\.spec\."
+VENDORED_PATH = r"\.min\.|(^|/)(vendor|vendored|third_party|thirdparty)(/|$)"
+
+
 def is_test_file(path: Column) -> Column:
-    """Whether a path looks like a test's: a directory of tests, or a name that starts or ends with test or spec."""
-    p = F.lower(path)
-    return p.rlike(r"(^|/)(tests?|__tests__|specs?)/") | p.rlike(r"(^|/)test_[^/]*$") | p.rlike(r"[._-](test|tests|spec)\.[^/.]+$") | p.rlike(r"(^|/)[^/]*_test\.[^/.]+$")
+    """Whether a path looks like a test's: a folder named tests, or test_, _test., .test. or .spec. anywhere in it."""
+    return F.lower(path).rlike(TEST_PATH)
 
 
 def is_vendored(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(vendor|vendored|third_party|third-party|node_modules|site-packages|external|deps|dist|build)/")
+    """Whether a path is a bundle of others: a minified file, or a part of the path that says so."""
+    return F.lower(path).rlike(VENDORED_PATH)
 
 
 def slug(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,14 +78,21 @@ def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_references(refs: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert or ignore on all four columns."""
-    return refs.unionByName(new).dropDuplicates(["file_path", "kind", "owner", "target"])
+    """Insert or ignore on all four columns, within a repository where the references have one."""
+    own = ["repo"] if "repo" in refs.columns else []
+    return refs.unionByName(new).dropDuplicates([*own, "file_path", "kind", "owner", "target"])
 
 
 def remove_files(graph: PropertyGraph, paths: DataFrame) -> PropertyGraph:
-    """The graph without the nodes of the files in ``paths(file_path)`` and without every edge that touched one."""
-    gone = graph.nodes.join(paths.select("file_path").distinct(), "file_path", "left_semi").select("id")
-    nodes = graph.nodes.join(paths.select("file_path").distinct(), "file_path", "left_anti")
+    """The graph without the nodes of the files in ``paths(repo, file_path)`` and without every edge that touched one.
+
+    Paths without a repo column mean the path in every repository; a null repo means the nodes without one.
+    """
+    keys = [c for c in ("repo", "file_path") if c in paths.columns]
+    out = paths.select(*(F.col(c).alias(f"_{c}") for c in keys)).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    gone = graph.nodes.join(out, same, "left_semi").select("id")
+    nodes = graph.nodes.join(out, same, "left_anti")
     edges = graph.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
     return PropertyGraph(nodes.select(*graph.nodes.columns), edges.select(*graph.edges.columns))
 
@@ -97,10 +105,15 @@ def find_by_name(graph: PropertyGraph, name: str, file_path: str | None = None)
     return got.orderBy("id").limit(1)
 
 
+def lookup_table(graph: PropertyGraph) -> DataFrame:
+    """(name, id, files): the point lookup of every name at once: its least id, and how many files hold it."""
+    return graph.nodes.groupBy("name").agg(F.min("id").alias("id"), F.count_distinct("file_path").alias("files"))
+
+
 def names_in_file(graph: PropertyGraph, file_path: str) -> DataFrame:
     return graph.nodes.where((F.col("file_path") == file_path) & (F.col("kind") != "file")).select("name").distinct()
 
 
 def stable_ids(nodes: DataFrame) -> DataFrame:
-    """external_id 'entity:<16 hex>' from what a node is, not from where it was stored."""
-    return nodes.withColumn("external_id", F.concat(F.lit("entity:"), F.lower(F.lpad(F.hex(F.xxhash64("kind", "file_path", "name", "start_line", "end_line")), 16, "0"))))
+    """external_id 'entity:<16 hex>' from what a node is, its repository among it, not from where it was stored."""
+    return nodes.withColumn("external_id", F.concat(F.lit("entity:"), F.lower(F.lpad(F.hex(F.xxhash64("repo", "kind", "file_path", "name", "start_line", "end_line")), 16, "0"))))

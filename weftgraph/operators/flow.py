@@ -19,9 +19,15 @@ from weftgraph.session import written
 
 KEY = ["repo", "file_path", "function"]
 # Where untrusted values come from, where they do harm, and what makes them harmless.
-SOURCES = ("input", "request", "argv", "environ", "getenv", "recv", "read_body", "params", "query_string", "form", "cookies", "headers", "stdin", "body", "payload")
-SINKS = ("eval", "exec", "system", "popen", "run", "call", "check_output", "Popen", "execute", "executemany", "raw", "query", "render_template_string", "open", "write", "send", "redirect", "loads", "load", "innerHTML", "compile", "spawn", "remove", "unlink", "rmtree", "urlopen")
-SANITIZERS = ("escape", "quote", "sanitize", "clean", "validate", "bleach", "int", "float", "parameterize", "encode")
+SOURCES = tuple("argv args env environ query body params headers cookies stdin input form GET POST request".split())
+SINKS = tuple(
+    "eval exec execSync execFile spawn spawnSync system popen query execute executemany raw innerHTML insertAdjacentHTML writeFile writeFileSync readFile readFileSync createReadStream "
+    "sendFile send_file render_template_string deserialize loads unserialize Function".split()
+)
+SANITIZERS = tuple(
+    "escape escapeHtml escapeHTML escape_html escapeString escape_string escapeIdentifier escape_identifier sanitize sanitizeHtml sanitize_html encodeURI encodeURIComponent htmlspecialchars "
+    "quote quote_ident quoteIdentifier shlex_quote parseInt parseFloat Number int float".split()
+)
 TAINT_ROUNDS, SUMMARY_ROUNDS = 8, 3
 
 

@@ -99,7 +99,7 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = MOST_DEPTH) ->
     First discovery counts: of a round's edges into a node the one of the least (from_id, kind). Seeds have depth 0. The
     frontier of every round is written; the union of all rounds is the visited set that the next round anti-joins.
     """
-    e = edges.select("from_id", "to_id", "kind", "confidence")
+    e = written(edges.select("from_id", "to_id", "kind", "confidence"), "steps")  # cleaned once, not in every round
     none = F.lit(None)
     frontier = written(
         seeds.select("root", "id").distinct().select("root", "id", F.lit(0).alias("depth"), none.cast("string").alias("kind"), none.cast("string").alias("confidence"), none.cast("bigint").alias("via")), "reach"
@@ -161,7 +161,7 @@ def shortest_path(g: PropertyGraph, source: int, target: int, most: int = 64) ->
     """
     spark = g.spark
     e = g.edges.select(F.col("src").alias("from_id"), F.col("dst").alias("to_id")).unionByName(g.edges.select("dst", "src").toDF("from_id", "to_id"))
-    e = e.join(g.nodes.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id")
+    e = written(e.join(g.nodes.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id"), "steps")
     frontier = spark.createDataFrame([(source, None, 0)], "id bigint, via bigint, depth int")
     frontier = written(frontier.join(g.nodes.select("id"), "id", "left_semi"), "path")
     seen, rounds = frontier, [frontier]

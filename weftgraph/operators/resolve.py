@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import endpoint_shape, mention_tokens
 from weftgraph.graph import upsert_edges
+from weftgraph.session import written
 
 IMPORT = "module string, symbol string, local string, glob boolean"
 CALL = "callee string, receiver string, caller_type string"
@@ -164,7 +165,7 @@ def call_edges(refs: DataFrame, syms: DataFrame, files: DataFrame, bound: DataFr
     imports; 7 the same file; 8 the whole repository.
     """
     c = refs.where("kind = 'call'").select("repo", "file_path", "owner", F.from_json("target", CALL).alias("t")).select("repo", "file_path", "owner", "t.*")
-    c = owners(c, syms, files).withColumn("call", F.xxhash64("repo", "file_path", "owner", "callee", "receiver", "caller_type"))
+    c = written(owners(c, syms, files).withColumn("call", F.xxhash64("repo", "file_path", "owner", "callee", "receiver", "caller_type")), "asked")
     target = syms.select("repo", F.col("file_path").alias("target_file"), F.col("name").alias("callee"), F.col("id").alias("dst"))
     here = lambda df: df.join(target, ["repo", "target_file", "callee"])
     is_self = F.col("receiver").isin("self", "this", "cls")
@@ -187,15 +188,15 @@ def call_edges(refs: DataFrame, syms: DataFrame, files: DataFrame, bound: DataFr
     r5 = here(c.where("receiver <> ''").withColumn("module", F.element_at(F.split("receiver", r"\."), -1)).join(stem, ["repo", "module"])).select(*pick, F.lit(5).alias("rung"))
     r6 = here(c.where("receiver = ''").join(bound.where("glob").select("repo", "file_path", "target_file").distinct(), ["repo", "file_path"])).select(*pick, F.lit(6).alias("rung"))
     r7 = here(c.where("receiver = ''").withColumn("target_file", F.col("file_path"))).select(*pick, F.lit(7).alias("rung"))
-    callable_ = nodes.where("kind in ('function', 'method', 'struct', 'component')").select("repo", F.col("name").alias("callee"), F.col("id").alias("dst"))
-    r8 = c.where("receiver = ''").join(callable_, ["repo", "callee"]).select(*pick, F.lit(8).alias("rung"))
-
     def single(df: DataFrame) -> DataFrame:
         return df.join(df.groupBy("call").agg(F.count_distinct("dst").alias("k")).where("k = 1").select("call"), "call")
 
-    every = r1.unionByName(r2).unionByName(r3).unionByName(single(r4)).unionByName(single(r5)).unionByName(single(r6)).unionByName(single(r7)).unionByName(r8)
-    best = every.groupBy("call").agg(F.min("rung").alias("rung"))
-    won = every.join(best, ["call", "rung"]).select("call", "src", "dst", "rung").distinct()
+    first = written(r1.unionByName(r2).unionByName(r3).unionByName(single(r4)).unionByName(single(r5)).unionByName(single(r6)).unionByName(single(r7)), "rungs")
+    # only what no earlier rung answers meets all equal names of its repository
+    callable_ = nodes.where("kind in ('function', 'method', 'struct', 'component')").select("repo", F.col("name").alias("callee"), F.col("id").alias("dst"))
+    r8 = c.where("receiver = ''").join(first.select("call").distinct(), "call", "left_anti").join(callable_, ["repo", "callee"]).select(*pick, F.lit(8).alias("rung"))
+    best = first.groupBy("call").agg(F.min("rung").alias("rung"))
+    won = written(first.join(best, ["call", "rung"], "left_semi").unionByName(r8).select("call", "src", "dst", "rung").distinct(), "won")
     sure: Column = F.when(F.col("rung").isin(1, 2, 3), "EXTRACTED").otherwise("INFERRED")
     k = won.groupBy("call").agg(F.count_distinct("dst").alias("k"))
     e = won.join(k, "call").where("src <> dst").select("src", "dst", F.lit("calls").alias("kind"), F.when(F.col("k") == 1, sure).otherwise("AMBIGUOUS").alias("confidence"), F.lit(3).alias("rule_seq"))
@@ -274,8 +275,8 @@ def resolve(nodes: DataFrame, refs: DataFrame, docs: DataFrame | None = None, al
     all_endpoints = endpoints.unionByName(old).dropDuplicates(["id"])
     syms, files = symbols(nodes), file_nodes(nodes)
     imports = refs.where("kind = 'import'").select("repo", "file_path", F.from_json("target", IMPORT)["module"].alias("module"))
-    resolved = resolve_modules(files, imports, aliases)
-    bound = bindings(refs, resolved)
+    resolved = written(resolve_modules(files, imports, aliases), "modules")
+    bound = written(bindings(refs, resolved), "bindings")
     rules = [
         import_edges(refs, resolved, syms, files), call_edges(refs, syms, files, bound, nodes), inheritance_edges(refs, syms, bound, nodes), route_edges(refs, syms, endpoints),
         consumer_edges(refs, syms, files, all_endpoints), event_edges(refs, syms, files), tool_call_edges(refs, syms, files, all_endpoints), operation_edges(refs, nodes),

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from weftgraph import schema
 from weftgraph.graph import PropertyGraph
 from weftgraph.operators.graph_algos import degrees
+from weftgraph.session import written
 
 K1, B = 1.2, 0.75
 # Letters with marks and the letters they fold to.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
-# Words that a question's ranking leaves out.
-STOP_WORDS = ("the", "and", "for", "how", "does", "what", "where", "when", "which", "who", "why", "with", "are")
-NOISE = frozenset("the a an and or of to in is are was were be for on with by it this that how what where when which who why does do did can from at as".split())
+# Words that a question's ranking leaves out, and words that stand in every question.
+STOP_WORDS = ("how", "what", "where", "which", "does", "work", "from", "this", "that", "with", "into", "code", "flow")
+NOISE = frozenset("the a an is are was were how what why does do did in of to and or for this that it on with".split())
 
 
 def folded(text):
@@ -51,7 +52,7 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     BM25 over the phrase's hits; ties by id. Queries without a token have no hits. Prefixes are found by joining on the
     token's first letters: each token is looked up by all its prefixes that queries ask for.
     """
-    p = postings(docs)
+    p = written(postings(docs), "postings")  # read five times below
     q = queries.select("query_id", tokens(F.col("text")).alias("t")).where("size(t) > 0")
     last = q.select("query_id", F.size("t").alias("n"), F.element_at("t", -1).alias("prefix"))
     wanted = last.select("prefix").distinct()

@@ -13,6 +13,8 @@ from weftgraph.operators.graph_algos import degrees, dependents, entrypoints
 from weftgraph.session import written
 
 HUB_DEGREE = 10
+# What marks a line that explains itself.
+MARKERS = ("WHY:", "HACK:")
 
 
 # surfaces
@@ -45,12 +47,12 @@ def mismatch_summary(s: DataFrame) -> DataFrame:
 
 
 def api_impact(g: PropertyGraph) -> DataFrame:
-    """(root, dependents): per endpoint with handlers, how many symbols depend on its handlers, to two levels of callers."""
+    """(root, dependents): per endpoint with handlers, how many symbols depend on its handlers, as deep as any impact."""
     from weftgraph.operators.graph_algos import against, reach
 
     ends = g.nodes.where("kind = 'endpoint'").select(F.col("id").alias("dst"))
     seeds = g.edges.where("kind = 'implements'").join(ends, "dst", "left_semi").select(F.col("dst").alias("root"), F.col("src").alias("id"))
-    return reach(against(g), seeds, 2).where("depth > 0").groupBy("root").agg(F.count(F.lit(1)).alias("dependents"))
+    return reach(against(g), seeds).where("depth > 0").groupBy("root").agg(F.count(F.lit(1)).alias("dependents"))
 
 
 # diff and drift
@@ -208,10 +210,18 @@ def workspace_status(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("repo").agg(F.count(F.lit(1)).alias("passes"), last).select("repo", "passes", "l.indexed_at", "l.files", "l.nodes", "l.edges")
 
 
+def distribution(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, low, p50, p95, high, mean) of a column: nearest-rank percentiles per key, with windows instead of collected lists; null values don't count."""
+    w, n = Window.partitionBy(key).orderBy(value), Window.partitionBy(key)
+    r = rows.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(w) - 1).alias("_k"), (F.count(F.lit(1)).over(n) - 1).alias("_last"))
+    at = lambda q: F.max(F.when(F.col("_k") == F.ceil(F.col("_last") * q / 100), F.col(value)))
+    return r.groupBy(key).agg(F.min(value).alias("low"), at(50).alias("p50"), at(95).alias("p95"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("mean"))
+
+
 def why_hack(files: DataFrame) -> DataFrame:
-    """(repo, file_path, line, text): lines that hold WHY: or HACK: or TODO: markers, in order."""
+    """(repo, file_path, line, text): lines that hold one of MARKERS, trimmed, in order."""
     lines = files.where("text is not null").dropDuplicates(["file_id"]).select("repo", "file_path", F.posexplode(F.split("text", r"\r?\n")).alias("k", "text"))
-    return lines.where(F.col("text").rlike(r"\b(WHY|HACK|TODO):")).select("repo", "file_path", (F.col("k") + 1).alias("line"), F.trim("text").alias("text"))
+    return lines.where(F.col("text").contains(MARKERS[0]) | F.col("text").contains(MARKERS[1])).select("repo", "file_path", (F.col("k") + 1).alias("line"), F.trim("text").alias("text"))
 
 
 # communities and areas
@@ -272,14 +282,32 @@ def area_names(g: PropertyGraph, groups: DataFrame) -> DataFrame:
     parts = F.split(parent_dir(F.col("file_path")), "/")
     dirs = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     cover = m.where(parent_dir(F.col("file_path")) != "").select("community", F.explode(dirs).alias("dir")).groupBy("community", "dir").agg(F.count(F.lit(1)).alias("k")).join(size, "community").where("k * 2 >= n")
-    w = Window.partitionBy("community").orderBy(F.size(F.split("dir", "/")).desc(), F.col("k").desc(), "dir")
+    w = Window.partitionBy("community").orderBy(F.size(F.split("dir", "/")).desc(), F.length("dir").desc(), F.col("k").desc(), "dir")
     best = cover.withColumn("r", F.row_number().over(w)).where("r = 1").select("community", "dir")
     return size.join(best, "community", "left").select("community", F.coalesce("dir", "first").alias("area"), F.col("n").alias("symbols"))
 
 
+def distinct_area_names(g: PropertyGraph, groups: DataFrame) -> DataFrame:
+    """(community, area, symbols) with names of their own: of areas that share a name the largest, then the least community, keeps it.
+
+    The others are called after the file that holds most of their symbols, the least among equals; where that name is
+    taken too, by a kept name or by a lesser community, the community's number is put behind it.
+    """
+    named = area_names(g, groups)
+    m = groups.join(g.nodes.select("id", "file_path"), "id").where("file_path is not null")
+    m = m.where(~is_vendored(F.col("file_path"))).groupBy("community", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    file = m.groupBy("community").agg(F.min_by("file_path", F.struct((-F.col("n")).alias("n"), "file_path")).alias("file"))
+    order = Window.partitionBy("area").orderBy(F.col("symbols").desc(), "community")
+    r = named.join(file, "community", "left").withColumn("_r", F.row_number().over(order))
+    r = r.withColumn("own", F.when(F.col("_r") == 1, F.col("area")).otherwise(F.col("file")))
+    among = Window.partitionBy("own").orderBy(F.when(F.col("_r") == 1, 0).otherwise(1), "community")
+    r = r.withColumn("_q", F.row_number().over(among))
+    return r.select("community", F.when(F.col("_q") == 1, F.col("own")).otherwise(F.concat("own", F.lit(" #"), F.col("community"))).alias("area"), "symbols")
+
+
 def areas(g: PropertyGraph, groups: DataFrame, least: int = 8, most: int = 12) -> DataFrame:
-    """(area, community, symbols, rank) of the largest areas of at least ``least`` symbols."""
-    a = area_names(g, groups).where(F.col("symbols") >= least)
+    """(area, community, symbols) of the largest areas of at least ``least`` symbols, each under a name of its own."""
+    a = distinct_area_names(g, groups).where(F.col("symbols") >= least)
     return a.orderBy(F.col("symbols").desc(), "area", "community").limit(most)
 
 

@@ -53,21 +53,29 @@ def node_filter(n: NodePattern) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def steps(g: PropertyGraph, hop: Hop) -> DataFrame:
-    """(__from, __to, __edge) of one hop in the asked direction; an undirected self-loop counts twice."""
+def steps(g: PropertyGraph, hop: Hop, named: bool) -> DataFrame:
+    """(__from, __to, __edge) of one hop in the asked direction; an undirected self-loop counts twice.
+
+    ``named`` edges carry the names of their ends; only a query that returns the path pays for these joins.
+    """
     e = g.edges
     if hop.types:
         e = e.where(F.col("kind").isin(*hop.types))
-    edge = F.struct("src", "dst", "kind", "confidence").alias("__edge")
+    ends = []
+    if named:
+        for end, name in (("src", "source"), ("dst", "target")):
+            e = e.join(g.nodes.select(F.col("id").alias(end), F.col("name").alias(name)), end, "left")
+            ends.append(name)
+    edge = F.struct("src", "dst", "kind", "confidence", *ends).alias("__edge")
     out = e.select(F.col("src").alias("__from"), F.col("dst").alias("__to"), edge)
     into = e.select(F.col("dst").alias("__from"), F.col("src").alias("__to"), edge)
     return out if hop.direction == "out" else into if hop.direction == "in" else out.unionByName(into)
 
 
-def walk(rows: DataFrame, start: str, hop: Hop, g: PropertyGraph, bound: bool) -> DataFrame:
+def walk(rows: DataFrame, start: str, hop: Hop, g: PropertyGraph, bound: bool, named: bool = False) -> DataFrame:
     """rows with __to and the path column; every path of low..high hops is a row, no edge repeats inside one path."""
     path = "__path" if bound else f"{hop.var}__path"
-    s = steps(g, hop)
+    s = steps(g, hop, named)
     ids = g.nodes.select(F.col("id").alias("__to"))
     level = rows.join(s, F.col(f"{start}__id") == F.col("__from")).drop("__from").withColumn(path, F.array("__edge")).drop("__edge")
     if hop.high == 1:
@@ -91,6 +99,7 @@ class Plan:
         self.g, self.select = g, select
         self.vars: dict[str, str] = {}  # name -> node | path, in the order of declaration
         self.single: dict[str, bool] = {}  # path variables of exactly one hop
+        self.returned = {i.value.var for i in select.items if i.value is not None and i.value.kind == "variable"}
 
     def bind(self, var: str, kind: str) -> bool:
         """Whether the variable was bound before."""
@@ -112,7 +121,7 @@ class Plan:
             bound = hop.var in self.vars
             self.bind(hop.var, "path")
             self.single[hop.var] = self.single.get(hop.var, True) and hop.high == 1
-            rows = walk(rows, here.var, hop, self.g, bound)
+            rows = walk(rows, here.var, hop, self.g, bound, hop.var in self.returned)
             if bound:
                 rows = rows.where(F.col("__path") == F.col(f"{hop.var}__path")).drop("__path")
             if there.var in self.vars:
@@ -124,7 +133,7 @@ class Plan:
         return rows
 
     def optional(self, rows: DataFrame, p: Pattern) -> DataFrame:
-        """Left outer: the pattern is expanded from the distinct bound values that it starts from, then joined back on them."""
+        """Left outer: the pattern is expanded from the distinct bound values of its first bound node, to both sides, then joined back on them."""
         used = [n.var for n in p.nodes] + [h.var for h in p.hops]
         keys = [f"{v}__id" if self.vars[v] == "node" else f"{v}__path" for v in self.vars if v in used]
         carried = [f"{v}__{q}" for v in self.vars if v in used and self.vars[v] == "node" for q in STORED] + [k for k in keys if k.endswith("__path")]
@@ -134,14 +143,16 @@ class Plan:
             self.vars |= other.vars
             self.single |= other.single
             return rows.join(right, F.lit(True), "left")
-        if p.nodes[0].var not in self.vars:
-            p = reverse(p) if p.nodes[-1].var in self.vars else p
-        before = set(self.vars)
-        base = rows.select(*carried).distinct()
-        if p.nodes[0].var in before:
-            right = self.pattern(base, p)
-        else:  # bound in the middle only: expand from both sides of the first bound node
-            raise QueryError("an OPTIONAL MATCH must start or end at a bound variable")
+        declared = [*self.vars, *(v for pair in zip([n.var for n in p.nodes], [*(h.var for h in p.hops), ""]) for v in pair if v)]
+        at = next(k for k, n in enumerate(p.nodes) if n.var in self.vars)
+        right = rows.select(*carried).distinct()
+        if at:
+            right = self.pattern(right, reverse(Pattern(p.nodes[: at + 1], p.hops[:at], True)))
+        if at < len(p.nodes) - 1:
+            right = self.pattern(right, Pattern(p.nodes[at:], p.hops[at:], True))
+        elif not at:
+            right = self.pattern(right, p)
+        self.vars = {v: self.vars[v] for v in dict.fromkeys(declared)}  # ties are broken in the order of declaration
         new = [c for c in right.columns if c not in carried]
         right = right.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *new)
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
@@ -211,7 +222,7 @@ class Plan:
         if kind == "node":
             return F.when(col.isNotNull(), F.struct(*(F.col(f"{v.var}__{p}").alias(p) for p in STORED)))
         if kind == "path":
-            return F.transform(col, lambda e: F.struct(F.upper(e["kind"]).alias("type"), e["confidence"].alias("confidence"), e["src"].alias("source"), e["dst"].alias("target")))
+            return F.transform(col, lambda e: F.struct(F.upper(e["kind"]).alias("type"), e["confidence"].alias("confidence"), e["source"].alias("source"), e["target"].alias("target")))
         return col
 
     def hidden(self) -> list[Column]:

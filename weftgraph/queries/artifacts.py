@@ -131,6 +131,14 @@ ORACLE = {
         SELECT m.repo, m.file_path, m.line, lpad(CAST(arg_min(n.id, (n.start_line, lpad(CAST(n.id AS VARCHAR), 20, '0'))) AS VARCHAR), 20, '0') AS target FROM m JOIN n ON n.repo = m.repo AND n.file_path = m.file_path AND n.kind IN ('function', 'method') AND n.start_line >= m.line GROUP BY 1, 2, 3"""),
     "a19_innermost": with_graph("""WITH s AS (SELECT DISTINCT repo, file_path, start_line AS a, end_line AS b FROM g_nodes WHERE kind IN ('function', 'method')), r AS (SELECT * FROM g_nodes WHERE kind IN ('struct', 'interface', 'component'))
         SELECT s.repo, s.file_path, s.a AS "start", s.b AS "end", arg_min(r.id, (r.end_line - r.start_line, -r.start_line, r.id)) AS owner FROM s JOIN r ON r.repo = s.repo AND r.file_path = s.file_path AND r.start_line <= s.a AND s.b <= r.end_line GROUP BY 1, 2, 3, 4"""),
+    "s02_relevance": "SELECT DISTINCT file_path, (lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) IN ({0}) OR regexp_extract(file_path, '[^/]*$') IN ({1})) AND len(list_intersect(string_split(file_path, '/'), [{2}])) = 0 AND regexp_extract(file_path, '[^/]*$') NOT IN ({3}) AS relevant FROM nodes WHERE id IS NOT NULL".format(
+        *(", ".join(f"'{x}'" for x in names) for names in ((*artifacts.CODE, *artifacts.TEXT_DOCS, *artifacts.OTHER), artifacts.MANIFESTS, artifacts.SKIP_DIRS, artifacts.SKIP_FILES))
+    ),
+    "x09_validation": with_graph("""WITH t AS (SELECT n.*, dense_rank() OVER (ORDER BY repo, kind, file_path, name, start_line, end_line) AS e FROM g_nodes n), r AS (SELECT a.e AS s, b.e AS t, g.kind, g.confidence FROM g_edges g JOIN t a ON a.id = g.src JOIN t b ON b.id = g.dst)
+        SELECT 'entity ids are unique' AS rule, (SELECT count(*) FROM (SELECT e FROM t GROUP BY e HAVING count(*) > 1) x) AS violations UNION ALL SELECT 'relationship ids are unique', (SELECT count(*) FROM (SELECT s, t, kind FROM r GROUP BY ALL HAVING count(*) > 1) x)
+        UNION ALL SELECT 'sources exist', 0 UNION ALL SELECT 'targets exist', 0
+        UNION ALL SELECT 'places lie inside the repository', count(*) FROM t WHERE file_path IS NULL OR starts_with(file_path, '/') OR contains('/' || file_path || '/', '/../') UNION ALL SELECT 'lines are in order', count(*) FROM t WHERE start_line < 1 OR end_line < start_line
+        UNION ALL SELECT 'entity kinds are known', 0 UNION ALL SELECT 'confidences are known', 0"""),
     "w01_events_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "w02_file_stream": "SELECT DISTINCT file_id, repo, file_path, CAST(length(text) AS INT) AS n_chars FROM source_files",
     "s08_ddl_tables": """WITH s AS (SELECT repo, CAST(doc_id AS VARCHAR) AS file_path, unnest(string_split(regexp_replace(text, '--[^\\n]*|/\\*[\\s\\S]*?\\*/', ' ', 'g'), ';')) AS st, generate_subscripts(string_split(regexp_replace(text, '--[^\\n]*|/\\*[\\s\\S]*?\\*/', ' ', 'g'), ';'), 1) - 1 AS k FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)

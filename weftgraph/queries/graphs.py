@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.graph import load, stable_ids, with_graph
+from weftgraph.graph import load, lookup_table, stable_ids, with_graph
 from weftgraph.operators import graph_algos as A
+from weftgraph.operators.views import distribution
 from weftgraph.session import table
 
-_TEST = "(regexp_matches(lower({0}), '(^|/)(tests?|__tests__|specs?)/') OR regexp_matches(lower({0}), '(^|/)test_[^/]*$') OR regexp_matches(lower({0}), '[._-](test|tests|spec)\\.[^/.]+$') OR regexp_matches(lower({0}), '(^|/)[^/]*_test\\.[^/.]+$'))"
+_TEST = r"regexp_matches(lower({0}), '(^|/)tests/|test_|_test\.|\.test\.|\.spec\.')"
 _DEG = "d AS (SELECT id, sum(i) AS in_degree, sum(o) AS out_degree, count(*) AS degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM g_edges UNION ALL SELECT dst, 1, 0 FROM g_edges) x GROUP BY id)"
 
 
@@ -22,9 +23,7 @@ def s21_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s22_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The point lookup for every name at once: the least id of each name and of each (name, file)."""
-    n = load(spark, d).nodes
-    return n.groupBy("name").agg(F.min("id").alias("id"), F.count_distinct("file_path").alias("files"))
+    return lookup_table(load(spark, d))
 
 
 def a06_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -40,15 +39,8 @@ def a08_kind_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a15_distribution(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest-rank percentiles of the files per index pass, by repository, with windows instead of collected lists."""
-    from pyspark.sql import Window
-
-    p = table(spark, d, "index_summaries").where("files is not null")
-    w = Window.partitionBy("repo").orderBy("files")
-    n = Window.partitionBy("repo")
-    r = p.select("repo", "files", (F.row_number().over(w) - 1).alias("k"), (F.count(F.lit(1)).over(n) - 1).alias("last"))
-    at = lambda q: F.max(F.when(F.col("k") == F.ceil(F.col("last") * q / 100), F.col("files")))
-    return r.groupBy("repo").agg(F.min("files").alias("low"), at(50).alias("p50"), at(95).alias("p95"), F.max("files").alias("high"), F.round(F.avg("files"), 6).alias("mean"))
+    """Nearest-rank percentiles of the files per index pass, by repository."""
+    return distribution(table(spark, d, "index_summaries"), "repo", "files")
 
 
 def t01_god_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +98,11 @@ def g05_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return A.shortest_path(g, ends[0], ends[1]).select("step", "id")
 
 
+def g05_path_length(spark: SparkSession, d: str) -> DataFrame:
+    """How many steps the shortest path has between the first and the last document."""
+    return g05_shortest_path(spark, d).agg(F.max("step").alias("steps"))
+
+
 def g06_dependents(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d)
     return A.dependents(g, g.nodes.where("kind = 'endpoint'").select(F.lit(0).cast("bigint").alias("root"), "id")).select("id")
@@ -156,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s21_nodes, s21_edges, s22_lookup, a06_degree, a07_confidence, a08_kind_classes, a15_distribution, t01_god_nodes, t02_report_gods, t03_digest_hubs, t04_hot_symbols, t05_search_hints, g01_neighbors, g02_impact,
-        g02_impact_each, g03_affected_tests, g05_shortest_path, g06_dependents, g07_components, g07_label_propagation, g07_communities, g08_entrypoints, g09_processes, g10_listing, g11_stats, g12_rename_plan, x08_stable_ids,
+        g02_impact_each, g03_affected_tests, g05_shortest_path, g05_path_length, g06_dependents, g07_components, g07_label_propagation, g07_communities, g08_entrypoints, g09_processes, g10_listing, g11_stats, g12_rename_plan, x08_stable_ids,
     )
 }
 
@@ -191,6 +188,8 @@ _ORACLE = {
     "g03_affected_tests": f"""WITH RECURSIVE c AS (SELECT repo, arg_min(file_path, (fetched_at, file_id)) AS file_path FROM source_files GROUP BY repo),
         b(id, depth) AS (SELECT n.id, 0 FROM g_nodes n JOIN c ON c.repo = n.repo AND c.file_path = n.file_path UNION SELECT e.src, b.depth + 1 FROM b JOIN g_edges e ON e.dst = b.id WHERE b.depth < 21)
         SELECT DISTINCT n.repo, n.file_path FROM (SELECT DISTINCT id FROM b WHERE depth > 0) x JOIN g_nodes n ON n.id = x.id WHERE {_TEST.format('n.file_path')} AND NOT EXISTS (SELECT 1 FROM c WHERE c.repo = n.repo AND c.file_path = n.file_path)""",
+    "g05_path_length": """WITH RECURSIVE und AS (SELECT src AS a, dst AS b FROM g_edges UNION SELECT dst, src FROM g_edges), b(id, depth) AS (SELECT min(id), 0 FROM g_nodes WHERE kind = 'doc' UNION SELECT u.b, b.depth + 1 FROM b JOIN und u ON u.a = b.id JOIN g_nodes n ON n.id = u.b WHERE b.depth < 16)
+        SELECT min(depth) AS steps FROM b WHERE id = (SELECT max(id) FROM g_nodes WHERE kind = 'doc')""",
     "g06_dependents": """WITH RECURSIVE b(id) AS (SELECT id FROM g_nodes WHERE kind = 'endpoint' UNION SELECT e.src FROM b JOIN g_edges e ON e.dst = b.id) SELECT id FROM b WHERE id NOT IN (SELECT id FROM g_nodes WHERE kind = 'endpoint')""",
     "g07_components": """WITH RECURSIVE und AS (SELECT src AS a, dst AS b FROM g_edges UNION SELECT dst, src FROM g_edges), r(id, root) AS (SELECT id, id FROM (SELECT min(id) AS id FROM g_nodes) x UNION SELECT u.b, r.root FROM r JOIN und u ON u.a = r.id),
         giant AS (SELECT id FROM r) SELECT id, id AS component FROM g_nodes WHERE id NOT IN (SELECT id FROM giant) UNION ALL SELECT id, (SELECT min(id) FROM giant) FROM g_nodes WHERE id IN (SELECT id FROM giant)""",

@@ -131,8 +131,21 @@ def q20_return_node(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.to_json("a").alias("a"), F.to_json("r").alias("r"), F.to_json("b").alias("b"))
 
 
-QUERIES = {k: _run(text) for k, (text, _) in PAIRS.items()} | {"a03_collect": a03_collect, "q20_return_node": q20_return_node}
+def q20_return_path(spark: SparkSession, d: str) -> DataFrame:
+    """Returned paths, whose steps show the names of their ends."""
+    from pyspark.sql import functions as F
+
+    got = cypher(load(spark, d), "MATCH (a:Endpoint)-[r:CALLS*2]->(b:Method) RETURN a.id AS id, r, b.id AS last LIMIT 1000")
+    show = F.array_join(F.transform("r", lambda e: F.concat_ws(" ", e["source"], e["type"], e["target"], e["confidence"])), "; ")
+    return got.select("id", show.alias("path"), "last")
+
+
+QUERIES = {k: _run(text) for k, (text, _) in PAIRS.items()} | {"a03_collect": a03_collect, "q20_return_node": q20_return_node, "q20_return_path": q20_return_path}
 ORACLE = {k: with_graph(sql) for k, (_, sql) in PAIRS.items()} | {
+    "q20_return_path": with_graph(
+        """SELECT id, path, last FROM (SELECT a.id AS id, concat_ws(' ', a.name, 'CALLS', m.name, e.confidence) || '; ' || concat_ws(' ', m.name, 'CALLS', b.name, f.confidence) AS path, b.id AS last, row_number() OVER (ORDER BY a.id, e.src, e.dst, e.kind, f.dst, f.kind, b.id) AS k
+        FROM g_nodes a JOIN g_edges e ON e.src = a.id AND e.kind = 'calls' JOIN g_nodes m ON m.id = e.dst JOIN g_edges f ON f.src = m.id AND f.kind = 'calls' AND (f.src, f.dst) <> (e.src, e.dst) JOIN g_nodes b ON b.id = f.dst AND b.kind = 'method' WHERE a.kind = 'endpoint') x WHERE k <= 1000"""
+    ),
     "a03_collect": with_graph(
         """SELECT a.id AS id, string_agg(b.kind, ',' ORDER BY b.id) AS kinds FROM g_nodes a JOIN g_edges e ON e.dst = a.id AND e.kind = 'references' JOIN g_nodes b ON b.id = e.src WHERE a.kind = 'schema' GROUP BY 1 ORDER BY 1 LIMIT 1000"""
     ),

@@ -112,7 +112,7 @@ def _file_groups(g: PropertyGraph) -> DataFrame:
 
 def a09_file_summary(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d)
-    return V.community_summary(g, _file_groups(g)).select("community", "size", "internal", "external", "entrypoints", "worst")
+    return V.community_summary(g, _file_groups(g))
 
 
 def a10_file_bundles(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ def a10_file_bundles(spark: SparkSession, d: str) -> DataFrame:
 
 def a12_area_names(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d)
-    return V.area_names(g, _file_groups(g)).select("community", "symbols")
+    return V.distinct_area_names(g, _file_groups(g))
 
 
 def a13_areas(spark: SparkSession, d: str) -> DataFrame:
@@ -206,6 +206,25 @@ ORACLE = {
     for k, v in {
         "v01_surfaces": f"WITH {_SURF} SELECT * FROM t",
         "v02_mismatches": f"WITH {_SURF} SELECT repo, state, count(*) AS surfaces, CAST(sum(consumers) AS BIGINT) AS consumers FROM t GROUP BY 1, 2",
+        "v04_api_impact": """WITH RECURSIVE s AS (SELECT DISTINCT e.dst AS root, e.src AS id FROM g_edges e JOIN g_nodes n ON n.id = e.dst AND n.kind = 'endpoint' WHERE e.kind = 'implements'),
+            b(root, id) AS (SELECT root, id FROM s UNION SELECT b.root, e.src FROM b JOIN g_edges e ON e.dst = b.id) SELECT root, count(*) AS dependents FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.root = b.root AND s.id = b.id) GROUP BY 1""",
+        "v06_pr_insight": """WITH RECURSIVE f AS (SELECT repo, CAST(fetched_at AS DATE) AS day, file_path FROM source_files WHERE repo IS NOT NULL AND fetched_at IS NOT NULL), l AS (SELECT repo, max(day) AS day FROM f GROUP BY 1),
+            p AS (SELECT DISTINCT f.repo, CAST(strftime(f.day, '%Y%m%d') AS BIGINT) AS number, f.file_path FROM f JOIN l ON l.repo = f.repo AND l.day = f.day),
+            y AS (SELECT DISTINCT p.repo, p.number, n.id FROM p JOIN g_nodes n ON n.repo = p.repo AND n.file_path = p.file_path AND n.kind <> 'file'),
+            hub AS (SELECT dst AS id FROM g_edges GROUP BY 1 HAVING count(*) >= 10),
+            b(repo, number, id) AS (SELECT repo, number, id FROM y UNION SELECT b.repo, b.number, e.src FROM b JOIN g_edges e ON e.dst = b.id),
+            d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.repo = b.repo AND y.number = b.number AND y.id = b.id)),
+            u AS (SELECT p.repo, p.number, (SELECT count(*) FROM y WHERE y.repo = p.repo) AS symbols, (SELECT count(*) FROM y JOIN hub ON hub.id = y.id WHERE y.repo = p.repo) AS hubs, (SELECT count(*) FROM d WHERE d.repo = p.repo) AS blast_radius,
+              (SELECT count(DISTINCT n.file_path) FROM d JOIN g_nodes n ON n.id = d.id WHERE d.repo = p.repo AND regexp_matches(lower(n.file_path), '(^|/)tests/|test_|_test\\.|\\.test\\.|\\.spec\\.')) AS tests FROM (SELECT DISTINCT repo, number FROM p) p),
+            r AS (SELECT *, CAST(hubs * 3 + blast_radius // 25 + CASE WHEN symbols > 0 AND tests = 0 THEN 4 ELSE 0 END AS BIGINT) AS risk FROM u)
+            SELECT repo, number, symbols, hubs, blast_radius, tests, risk, CASE WHEN risk >= 10 THEN 'high' WHEN risk >= 4 THEN 'medium' ELSE 'low' END AS band FROM r""",
+        "f07_recall": f"""WITH {_ENT}, e AS (SELECT id, repo, recorded, nodes, CASE WHEN lower(trim(coalesce(outcome, ''))) IN ('worked', 'ok', 'good') THEN 'worked' WHEN lower(trim(coalesce(outcome, ''))) IN ('wrong', 'bad', 'failed') THEN 'wrong' ELSE 'open' END AS outcome,
+              list_distinct(list_filter(string_split_regex(lower(question), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: strlen(x) > 2 AND x NOT IN ({', '.join(f"'{w}'" for w in sorted(R.NOISE))}))) AS words FROM ent),
+            w AS (SELECT id, repo, unnest(words) AS w FROM e), s AS (SELECT q.id AS query_id, w.id, count(*) AS overlap FROM w q JOIN w ON w.repo = q.repo AND w.w = q.w WHERE q.id % 100 = 0 GROUP BY 1, 2),
+            z AS (SELECT q.id AS query_id, e.id, 0 AS overlap FROM e q JOIN e ON e.repo = q.repo WHERE q.id % 100 = 0 AND len(q.words) = 0), a AS (SELECT * FROM s UNION ALL SELECT * FROM z),
+            n AS (SELECT id, count(*) FILTER (there) AS present, count(*) FILTER (NOT there) AS missing FROM (SELECT x.id, EXISTS (SELECT 1 FROM g_nodes g WHERE g.repo = x.repo AND g.name = x.name) AS there FROM (SELECT DISTINCT id, repo, unnest(nodes) AS name FROM e) x) y GROUP BY 1),
+            k AS (SELECT query_id, a.id, overlap, e.outcome, coalesce(present, 0) AS present, coalesce(missing, 0) AS missing, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, CASE e.outcome WHEN 'wrong' THEN 0 WHEN 'worked' THEN 1 ELSE 2 END, recorded DESC NULLS LAST, a.id) AS rank FROM a JOIN e ON e.id = a.id LEFT JOIN n ON n.id = a.id)
+            SELECT query_id, id, overlap, outcome, present, missing, present = 0 OR missing > 0 AS stale, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10""",
         "v07_overlaps": f"""WITH {_LAST}, h AS (SELECT DISTINCT repo, number, unnest(hubs) AS k FROM last), c AS (SELECT DISTINCT repo, number, unnest(communities) AS k FROM last),
             x AS (SELECT a.repo, a.number AS l, b.number AS r, count(*) AS n FROM h a JOIN h b ON b.repo = a.repo AND b.k = a.k AND b.number <> a.number WHERE a.number % 100 = 0 GROUP BY 1, 2, 3),
             y AS (SELECT a.repo, a.number AS l, b.number AS r, count(*) AS n FROM c a JOIN c b ON b.repo = a.repo AND b.k = a.k AND b.number <> a.number WHERE a.number % 100 = 0 GROUP BY 1, 2, 3)
@@ -228,17 +247,22 @@ ORACLE = {
             SELECT c.kind, c.repo AS consumer, p.repo AS producer, count(*) AS links FROM p c JOIN p ON p.kind = c.kind AND p.k = c.k AND p.dec AND NOT c.dec AND p.repo <> c.repo GROUP BY 1, 2, 3""",
         "v16_status": "SELECT repo, count(*) AS passes, max(indexed_at) AS indexed_at, arg_max_null(files, (indexed_at, pass_id)) AS files, arg_max_null(nodes, (indexed_at, pass_id)) AS nodes, arg_max_null(edges, (indexed_at, pass_id)) AS edges FROM index_summaries GROUP BY 1",
         "v17_markers": """WITH f AS (SELECT repo, file_path, any_value(text) AS text FROM source_files WHERE text IS NOT NULL GROUP BY file_id, repo, file_path), l AS (SELECT repo, file_path, unnest(string_split_regex(text, '\\r?\\n')) AS t, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS line FROM f)
-            SELECT repo, file_path, CAST(line AS INT) AS line, trim(t) AS text FROM l WHERE regexp_matches(t, '\\b(WHY|HACK|TODO):')""",
+            SELECT repo, file_path, CAST(line AS INT) AS line, trim(t) AS text FROM l WHERE contains(t, 'WHY:') OR contains(t, 'HACK:')""",
         "a09_file_summary": f"""WITH {_GROUPS}, e AS (SELECT a.community AS ca, b.community AS cb, CASE confidence WHEN 'EXTRACTED' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END AS w FROM g_edges x JOIN grp a ON a.id = x.src JOIN grp b ON b.id = x.dst),
             i AS (SELECT ca AS community, count(*) AS internal, max(w) AS w FROM e WHERE ca = cb GROUP BY 1), o AS (SELECT community, count(*) AS external FROM (SELECT ca AS community FROM e WHERE ca <> cb UNION ALL SELECT cb FROM e WHERE ca <> cb) y GROUP BY 1),
             ep AS (SELECT id FROM g_nodes WHERE kind = 'function' AND name IN ('main', 'Main') UNION SELECT e.src FROM g_edges e JOIN g_nodes n ON n.id = e.dst AND n.kind = 'endpoint' WHERE e.kind = 'implements'),
-            p AS (SELECT community, count(*) AS entrypoints FROM ep JOIN grp ON grp.id = ep.id GROUP BY 1)
-            SELECT g.community, count(*) AS size, coalesce(max(internal), 0) AS internal, coalesce(max(external), 0) AS external, coalesce(max(entrypoints), 0) AS entrypoints, CASE max(w) WHEN 0 THEN 'EXTRACTED' WHEN 1 THEN 'INFERRED' WHEN 2 THEN 'AMBIGUOUS' END AS worst
-            FROM grp g LEFT JOIN i ON i.community = g.community LEFT JOIN o ON o.community = g.community LEFT JOIN p ON p.community = g.community GROUP BY 1""",
+            p AS (SELECT community, count(*) AS entrypoints FROM ep JOIN grp ON grp.id = ep.id GROUP BY 1),
+            dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM g_edges UNION ALL SELECT dst FROM g_edges) z GROUP BY 1),
+            tn AS (SELECT community, n.name, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, grp.id) AS r FROM grp JOIN g_nodes n ON n.id = grp.id LEFT JOIN dg ON dg.id = grp.id),
+            rep AS (SELECT community, string_agg(name, ', ' ORDER BY r) AS representatives FROM tn WHERE r <= 5 GROUP BY 1)
+            SELECT g.community, count(*) AS size, coalesce(max(internal), 0) AS internal, coalesce(max(external), 0) AS external, coalesce(max(entrypoints), 0) AS entrypoints, CASE max(w) WHEN 0 THEN 'EXTRACTED' WHEN 1 THEN 'INFERRED' WHEN 2 THEN 'AMBIGUOUS' END AS worst, max(representatives) AS representatives
+            FROM grp g LEFT JOIN i ON i.community = g.community LEFT JOIN o ON o.community = g.community LEFT JOIN p ON p.community = g.community LEFT JOIN rep ON rep.community = g.community GROUP BY 1""",
         "a10_file_bundles": f"""WITH {_GROUPS} SELECT least(a.community, b.community) AS low, greatest(a.community, b.community) AS high, x.kind, count(*) FILTER (confidence = 'EXTRACTED') AS extracted, count(*) FILTER (confidence = 'INFERRED') AS inferred, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous
             FROM g_edges x JOIN grp a ON a.id = x.src JOIN grp b ON b.id = x.dst WHERE a.community <> b.community GROUP BY 1, 2, 3""",
-        "a12_area_names": f"WITH {_GROUPS} SELECT community, count(*) AS symbols FROM grp JOIN g_nodes n ON n.id = grp.id WHERE file_path IS NOT NULL AND NOT regexp_matches(lower(file_path), '(^|/)(vendor|vendored|third_party|third-party|node_modules|site-packages|external|deps|dist|build)/') GROUP BY 1",
-        "a14_coupling": f"""WITH {_GROUPS}, ar AS (SELECT grp.id, community, {_DIR} AS area FROM grp JOIN g_nodes n ON n.id = grp.id WHERE file_path IS NOT NULL AND NOT regexp_matches(lower(file_path), '(^|/)(vendor|vendored|third_party|third-party|node_modules|site-packages|external|deps|dist|build)/'))
+        "a12_area_names": f"""WITH {_GROUPS}, c AS (SELECT community, min(file_path) AS file_path, count(*) AS symbols FROM grp JOIN g_nodes n ON n.id = grp.id WHERE file_path IS NOT NULL AND NOT regexp_matches(lower(file_path), '\\.min\\.|(^|/)(vendor|vendored|third_party|thirdparty)(/|$)') GROUP BY 1),
+            d AS (SELECT *, {_DIR} AS dir FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY symbols DESC, community) AS k FROM d), o AS (SELECT *, CASE WHEN k = 1 THEN dir ELSE file_path END AS own FROM r),
+            q AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY least(k, 2), community) AS q FROM o) SELECT community, CASE WHEN q = 1 THEN own ELSE own || ' #' || community END AS area, symbols FROM q""",
+        "a14_coupling": f"""WITH {_GROUPS}, ar AS (SELECT grp.id, community, {_DIR} AS area FROM grp JOIN g_nodes n ON n.id = grp.id WHERE file_path IS NOT NULL AND NOT regexp_matches(lower(file_path), '\\.min\\.|(^|/)(vendor|vendored|third_party|thirdparty)(/|$)'))
             SELECT least(a.area, b.area) AS a, greatest(a.area, b.area) AS b, count(*) AS edges FROM g_edges e JOIN ar a ON a.id = e.src JOIN ar b ON b.id = e.dst WHERE a.area <> b.area GROUP BY 1, 2""",
         "f01_word_search": f"""WITH t AS (SELECT id, list_filter({_FOLD.format("coalesce(name, '')")}, lambda x: x <> '') AS n, list_filter({_FOLD.format("coalesce(description, '')")}, lambda x: x <> '') AS d FROM g_nodes),
             p AS (SELECT id, unnest(list_concat(n, d)) AS token FROM t), q AS (SELECT DISTINCT n[1] AS q FROM t WHERE len(n) > 0),

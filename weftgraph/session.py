@@ -64,10 +64,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where no folder is configured (tests on one machine) a temporary one is made and set.
+    Only where no folder is configured and the session runs on one machine, as in tests, a temporary one is made and set;
+    on a cluster each executor would see another folder, so that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="weftgraph-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = "file://" + own
@@ -77,13 +80,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_cleaned: set[str] = set()
+
+
+def _application(spark: SparkSession) -> str:
+    """The name of this application's scratch folder, which is removed when the driver ends; tables may be read until then."""
+    name = spark.sparkContext.applicationId
+    if name not in _cleaned:
+        _cleaned.add(name)
+        at, jvm, conf = f"{shared_dir(spark).rstrip('/')}/weft-{name}", spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def remove() -> None:
+            try:
+                p = jvm.org.apache.hadoop.fs.Path(at)
+                p.getFileSystem(conf).delete(p, True)
+            except Exception:  # the session was ended before the driver: its folder goes with its retention
+                pass
+
+        atexit.register(remove)
+    return name
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cut the lineage with a compressed Parquet table in the shared folder and read it back.
 
     It survives the loss of executors, is column-pruned by later reads and is smaller than an RDD checkpoint.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/weft-{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark).rstrip('/')}/weft-{_application(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(at) if partition_by else df.write.option(
         "compression", "zstd"
     ).parquet(at)

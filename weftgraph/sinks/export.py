@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import script_escape, xml_escape
 from weftgraph.graph import PropertyGraph, stable_ids
 
-MARKERS = r"\b(WHY|HACK|TODO):"
-
-
 def json_lines(g: PropertyGraph) -> DataFrame:
     """(value): one JSON object a node, then one an edge; text as it lies in a text sink."""
     n = g.nodes.select(F.to_json(F.struct(F.lit("node").alias("record"), "id", "kind", "name", F.col("file_path").alias("file"), "start_line", "end_line")).alias("value"))
@@ -25,7 +22,7 @@ def write_json(g: PropertyGraph, path: str) -> None:
 
 def write_columnar(g: PropertyGraph, path: str) -> None:
     """Parquet, which is columnar and dictionary-coded, clustered by kind for pruning."""
-    g.nodes.repartition("kind").sortWithinPartitions("kind", "id").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/nodes")
+    g.nodes.repartition("kind", F.pmod(F.col("id"), F.lit(64))).sortWithinPartitions("kind", "id").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/nodes")
     g.edges.repartition("kind", F.pmod(F.col("src"), F.lit(64))).sortWithinPartitions("kind", "src").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
 
 

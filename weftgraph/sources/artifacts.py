@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import collapse, extension, file_name, strip_cues, strip_json_comments
 
-# Directories and files that a walk skips, and the extensions by how they are read.
-SKIP_DIRS = (".git", "node_modules", "target", "dist", "build", "vendor", ".venv", "venv", "__pycache__", ".next", "coverage", ".cache")
-SKIP_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock")
+# Directories and files that a walk skips (its own state first), and the extensions by how they are read.
+SKIP_DIRS = (".git", ".weftgraph", "target", "node_modules", ".playwright-mcp", ".claude", ".cursor", ".agents", ".venv", "venv", "__pycache__", ".tox")
+SKIP_FILES = (".weftgraph.lock",)
 TEXT_DOCS = ("md", "txt", "rst", "adoc", "srt", "vtt")
 CODE = ("py", "pyw", "js", "mjs", "cjs", "jsx", "ts", "tsx", "rs", "go", "java", "vue", "svelte", "astro", "rb", "php", "cs", "kt", "swift", "c", "h", "cpp", "hpp", "scala")
 OTHER = ("sql", "tf", "hcl", "yaml", "yml", "json", "pdf", "docx", "xlsx", "pptx", "odt", "ods", "csv", "svg", "png", "jpg", "jpeg", "mp4")
@@ -178,19 +178,21 @@ def schema_refs(node: object) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+# What the functions behind an operation are called by its verb; a read of one thing has other words than a list.
+READS_ONE = ("get", "find", "fetch", "show")
+VERBS = {"get": ("list", "get", "fetch"), "post": ("create", "add", "post"), "put": ("update", "edit", "patch"), "patch": ("update", "edit", "patch"), "delete": ("delete", "remove")}
+
+
 def handler_names(verb: str, path: str, operation_id: str | None) -> list[str]:
-    """Names that an operation's implementation may have, best first: its id, its verb with the path's last fixed part."""
-    out = []
+    """Names that an operation's implementation may have, best first: its id alone, else a word for its verb with the path's last fixed part, as it is and without a plural s."""
     if operation_id:
-        out += [operation_id, re.sub(r"(?<!^)(?=[A-Z])", "_", operation_id).lower()]
-    fixed = [p for p in path.split("/") if p and not re.match(r"[{:<]", p)]
-    if fixed:
-        res = re.sub(r"\W+", "_", fixed[-1]).lower()
-        one = res[:-1] if res.endswith("s") else res
-        words = {"get": ("get", "list", "fetch"), "post": ("create", "add", "post"), "put": ("update", "replace", "put"), "patch": ("update", "patch"), "delete": ("delete", "remove")}.get(verb, (verb,))
-        for w in words:
-            out += [f"{w}_{one}", f"{w}_{res}", w + one.title().replace("_", ""), w + res.title().replace("_", "")]
-    return list(dict.fromkeys(out))
+        return [operation_id]
+    fixed = [p for p in path.split("/") if p and not p.startswith("{")]
+    if not fixed:
+        return []
+    words = READS_ONE if verb == "get" and "{" in path else VERBS.get(verb, (verb,))
+    many = fixed[-1][:1].upper() + fixed[-1][1:]
+    return list(dict.fromkeys(w + thing for w in words for thing in (many, many.removesuffix("s"))))
 
 
 def read_contract(text: str) -> dict | None:

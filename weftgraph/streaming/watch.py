@@ -45,7 +45,7 @@ def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint
 class Revision:
     """A stored table that batches replace file by file, with the number of the last batch applied.
 
-    Each batch writes the next version beside the current one and then moves a pointer file, so readers see whole versions and a batch that
+    Each batch writes the next version beside the current one and then adds a pointer file, of which the last counts, so readers see whole versions and a batch that
     is replayed after a failure finds its number and does nothing.
     """
 
@@ -54,23 +54,29 @@ class Revision:
 
     def _pointer(self) -> tuple[int, int]:
         jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers")
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
+        whole = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(p)) if n.isdigit()) if fs.exists(p) else []
+        if not whole:
             return -1, -1
-        row = self.spark.read.text(f"{self.root}/CURRENT").first()[0].split(" ")
+        row = self.spark.read.text(f"{self.root}/pointers/{whole[-1]}").first()[0].split(" ")
         return int(row[0]), int(row[1])
 
     def _move(self, version: int, batch: int) -> None:
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
-        new, at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT.new"), jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
+        # each move writes a pointer of its own, under its version, and only a whole one gets its final name: a crash leaves the last
+        name = f"{self.root}/pointers/{version:012d}"
+        new, at = jvm.org.apache.hadoop.fs.Path(f"{name}.new"), jvm.org.apache.hadoop.fs.Path(name)
         fs = at.getFileSystem(conf)
         out = fs.create(new, True)
         out.write(bytearray(f"{version} {batch}\n".encode()))
         out.close()
-        fs.delete(at, False)
         fs.rename(new, at)
+        for f in fs.listStatus(at.getParent()):
+            old = f.getPath().getName()
+            if old.isdigit() and int(old) < version - 1:
+                fs.delete(f.getPath(), False)
 
     @property
     def number(self) -> int:
