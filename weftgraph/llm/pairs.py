@@ -5,9 +5,10 @@ Two statistical stages and a rule stage:
 * language: posteriors of prompt and response from a character n-gram naive Bayes (``language``); a response is
   defective if its language is clearly not the prompt's, or not the one that the prompt asks for;
 * truncation: the likelihood that a text ends where it ends. For the last characters of a text that has no closing
-  mark, the longest n-gram that other responses hold often enough says how often a sentence ends after it. The grams
-  of all responses are counted, in two steps: a bitmap of fixed size keeps the grams that can matter, then exact
-  64-bit keys are counted with map-side partial sums;
+  mark, the longest n-gram that other responses hold often enough, down to the last character alone, says how often a
+  sentence ends after it; a last letter that no other response holds ends none. The grams of all responses are counted, in
+  two steps: a bitmap sized by the asked keys keeps the grams that can matter, then exact 64-bit keys are counted with
+  map-side partial sums;
 * empty texts, refusals and copies follow from the text, or text and prompt, alone.
 """
 
@@ -27,12 +28,13 @@ from weftgraph.llm import language
 from weftgraph.session import written
 
 WORKED, WRONG = ("worked", "ok", "good"), ("wrong", "bad", "failed")
-ORDERS = (2, 3, 4, 6, 8, 11, 14)
-#: How often other responses must hold a gram for it to count.
+ORDERS = (1, 2, 3, 4, 6, 8, 11, 14)
+#: How often other responses must hold a gram for it to count; a single last character, the last resort, always does.
 LEAST_SEEN = 4
 #: Share of sentence ends after the gram under which a text is truncated.
 ENDS_RARELY = 0.05
-FILTER_BITS = 20
+#: Bits of the filter of grams: eight for each asked key, within these bounds (2^27 bits are 16 MB).
+LEAST_BITS, MOST_BITS = 20, 27
 #: Nats by which another language must win.
 LANGUAGE_MARGIN = 4.0
 
@@ -154,7 +156,7 @@ def _keys(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def count_grams(texts: list[str], wanted: np.ndarray) -> pd.DataFrame:
-    """(key, seen, ended) of the grams in ``texts`` whose filter bit is set.
+    """(key, seen, ended) of the grams in ``texts`` whose bit is set in ``wanted``, a filter of 2^k bits.
 
     A gram that a text ends with, without a closing mark, is neither: whether it may end there is what is asked.
     """
@@ -176,7 +178,7 @@ def count_grams(texts: list[str], wanted: np.ndarray) -> pd.DataFrame:
         # the gram itself and the character after it lie in one text
         ok = (across[after + 1] - across[after - n]) == 0
         keys, after = keys[ok], after[ok]
-        hit = wanted[keys & ((1 << FILTER_BITS) - 1)]
+        hit = wanted[keys & (len(wanted) - 1)]
         keys, after = keys[hit], after[hit]
         if len(keys):
             u, at = np.unique(keys, return_inverse=True)
@@ -203,27 +205,30 @@ def responses(entries: DataFrame) -> DataFrame:
 
 
 def end_likelihood(rows: DataFrame) -> DataFrame:
-    """(id, field, seen, ended) of the texts without a closing mark, by the longest of their last n-grams that is seen often enough."""
-    schema = "id bigint, field string, n int, key bigint"
+    """(id, field, n, seen, ended, letter) of the texts without a closing mark, by the longest of their last n-grams that is seen often enough."""
+    schema = "id bigint, field string, n int, key bigint, letter boolean"
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [
-                (i, f, n, k)
+                (i, f, n, k, visible(t)[-1:].isalpha())
                 for i, f, t in zip(pdf["id"], pdf["field"], pdf["text"])
                 if t is not None and needs_likelihood(visible(t))
                 for n, k in end_grams(visible(t))
             ]
-            yield pd.DataFrame(got, columns=["id", "field", "n", "key"])
+            yield pd.DataFrame(got, columns=["id", "field", "n", "key", "letter"])
 
     asked = written(rows.select("id", "field", "text").mapInPandas(last, schema), "ends")
-    bits = asked.select((F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))).cast("int").alias("b")).distinct()
-    wanted = np.zeros(1 << FILTER_BITS, bool)  # at most 2^FILTER_BITS numbers come to the driver and go out again
-    wanted[[r[0] for r in bits.collect()]] = True
-    filter_bits = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    # as many 64-bit words as the filter has, at most, come to the driver and go out again
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * asked.count()).bit_length()))
+    bit = F.col("key").bitwiseAND(F.lit(size - 1))
+    words = asked.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("b")).toArrow()
+    wanted = np.zeros(size // 64, np.int64)
+    wanted[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    filter_bits = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(filter_bits.value).astype(bool)
+        bitmap = np.unpackbits(filter_bits.value.astype("<i8").view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
             texts = [visible(t) for t in batch.column(0).to_pylist() if t]
             for a in range(0, len(texts), 4000):
@@ -231,10 +236,10 @@ def end_likelihood(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pandas(got, preserve_index=False)
 
     seen = rows.select("text").mapInArrow(count, "key bigint, seen bigint, ended bigint").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
-    enough = asked.join(seen.where(F.col("seen") >= LEAST_SEEN), "key")
+    enough = asked.join(seen, "key").where((F.col("seen") >= LEAST_SEEN) | (F.col("n") == 1))
     best = enough.groupBy("id", "field").agg(F.max_by(F.struct("seen", "ended"), "n").alias("b"), F.max("n").alias("n"))
-    unseen = asked.select("id", "field").distinct()
-    return unseen.join(best, ["id", "field"], "left").select("id", "field", F.col("n"), F.col("b.seen").alias("seen"), F.col("b.ended").alias("ended"))
+    unseen = asked.groupBy("id", "field").agg(F.max("letter").alias("letter"))
+    return unseen.join(best, ["id", "field"], "left").select("id", "field", F.col("n"), F.col("b.seen").alias("seen"), F.col("b.ended").alias("ended"), "letter")
 
 
 def stripped(text: str) -> str:
@@ -279,7 +284,8 @@ def defects(entries: DataFrame, documents: DataFrame) -> DataFrame:
     rows = written(responses(entries), "responses")
     model = rows.sparkSession.sparkContext.broadcast(language.train(documents, learned(rows)).table)
     ends = end_likelihood(rows)
-    rare = ends.where(F.coalesce(F.col("ended") < F.col("seen") * ENDS_RARELY, F.lit(True))).select("id", "field", F.lit(True).alias("rare"))
+    # a last letter that stands nowhere else ends no known sentence; of any other last character nothing is known
+    rare = ends.where(F.coalesce(F.col("ended") < F.col("seen") * ENDS_RARELY, "letter")).select("id", "field", F.lit(True).alias("rare"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nb = language.NaiveBayes(model.value)
