@@ -104,6 +104,25 @@ def test_unified_runs(spark):
     assert got == {"r1": (1, {"run_id": "r1", "size": 1}), "r2": (2, {"run_id": "r2", "size": 2}), "r3": (1, {"run_id": "r3", "size": 3})}
 
 
+def test_typed_runs_are_one_table(spark):
+    a = [{"run_id": f"r{i}", "size": i, "m": {"t": 1.5}, "tags": ["x"], "code": 7} for i in range(4)]
+    b = [{"run_id": f"r{i}", "bytes": i, "m": {"t": 1.5}, "tags": [], "code": "7"} for i in range(3, 7)]
+    b[3] |= {"odd": True, "m": {"t": "slow"}}
+    c = [{"id": f"r{i}", "bytes": i, "m": {"t": None}, "tags": None, "code": "7"} for i in range(6, 9)]
+    records = [(f, n, json.dumps(x)) for f, lines in ((1, a), (2, b), (3, c)) for n, x in enumerate(lines)]
+    files = [(k, "s", T0 + dt.timedelta(days=k)) for k in (1, 2, 3)]
+    df = schema_drift.typed_runs(spark.createDataFrame(records, RECORDS), spark.createDataFrame(files, FILES))
+    kinds = dict(df.dtypes)
+    assert (kinds["size"] if "size" in kinds else kinds["bytes"], kinds["m.t"], kinds["tags"], kinds["code"]) == ("double", "double", "string", "string")
+    got = {r["run_id"]: r.asDict() for r in df.collect()}
+    name = "bytes" if "bytes" in kinds else "size"
+    assert {k: v[name] for k, v in got.items()} == {f"r{i}": float(i) for i in range(7)} and got["r3"]["n_copies"] == 2
+    assert got["r0"]["tags"] == '["x"]' and got["r0"]["code"] == "7" and got["r4"]["code"] == '"7"' and got["r0"]["rest"] is None
+    assert json.loads(got["r6"]["rest"]) == {"odd": True, "m.t": "slow"} and got["r6"]["m.t"] is None
+    empty = schema_drift.typed_runs(spark.createDataFrame([], RECORDS), spark.createDataFrame([], FILES))
+    assert empty.collect() == [] and empty.columns == ["stream", "run_id", "first_file", "n_copies", "rest"]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_streams_match_brute_force(spark, seed):
     rng = random.Random(seed)

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.session import written
 
@@ -290,13 +291,13 @@ def renames(records: DataFrame, change: DataFrame) -> DataFrame:
     return edges.groupBy("at_file").applyInPandas(run, "file_id bigint, old_field string, new_field string")
 
 
-def changes(records: DataFrame, files: DataFrame) -> DataFrame:
+def changes(records: DataFrame, files: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     """(file_id, change, old_field, new_field) of each file against the file before in its stream.
 
     Null bodies, lines that don't parse, repeated rows, empty tables: no change comes of them. Columns beyond the ones
-    named here are not read.
+    named here are not read. ``layout`` is that of ``layouts``, where the caller has it already.
     """
-    layout = written(layouts(records, files), "layouts")
+    layout = written(layouts(records, files), "layouts") if layout is None else layout
     change = written(steps(layout, sequence(layout)), "steps")
     named = written(renames(records, change), "renames")
     old = named.select("file_id", F.col("old_field").alias("path"), F.lit("goes").alias("change"))
@@ -338,32 +339,81 @@ def canonical_names(found: DataFrame, most: int = 100_000) -> dict[str, str]:
     return {x: min(m, key=lambda y: (-weight.get(y, 0), y)) for m in members.values() for x in m}
 
 
-def unified_runs(records: DataFrame, files: DataFrame) -> DataFrame:
-    """(stream, run_id, first_file, n_copies, schema_version, repository, record): each run once, its fields under canonical names.
+def column_types(layout: DataFrame, names: dict[str, str], most: int = 100_000) -> dict[str, str]:
+    """The type of each canonical field: the one that all files give it, '' where they differ or never tell.
 
-    record is a JSON object of canonical dotted paths. Of several copies of a run the one in the earliest file (by
-    written_at, then line) counts. Records without run_id are left out.
+    The distinct (path, type) are a matter of the schema, not of the rows; more than ``most`` are an error.
     """
-    names = canonical_names(changes(records, files))
-    schema = "file_id bigint, line_no int, run_id string, schema_version string, repository string, record string"
+    got = layout.select("path", "type").distinct().limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} distinct fields")
+    kinds: dict[str, set[str]] = {}
+    for r in got:
+        kinds.setdefault(names.get(r["path"], r["path"]), set()).update([r["type"]] if r["type"] else [])
+    return {p: next(iter(k)) if len(k) == 1 else "" for p, k in sorted(kinds.items())}
+
+
+def _runs(records: DataFrame, files: DataFrame, names: dict[str, str], types: dict[str, str]) -> DataFrame:
+    schema = "file_id bigint, line_no int, run_id string, schema_version string, repository string, record string, fields string, rest string"
+    key = names.get("run_id", "run_id")
+    version, repository = names.get("schema_version", "schema_version"), names.get("repository.name", "repository.name")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def dumps(x: dict) -> str:
+            return json.dumps(x, sort_keys=True, ensure_ascii=False)
+
         for pdf in batches:
             rows = []
             for f, n, body in zip(pdf["file_id"].tolist(), pdf["line_no"].tolist(), pdf["body"].tolist()):
                 record = parse(body)
-                if record is None or record.get("run_id") is None:
+                if record is None:
                     continue
                 got = {names.get(k, k): v for k, v in fields(record).items()}
+                if got.get(key) is None:
+                    continue
                 text = lambda k: None if got.get(k) is None else str(got[k])
-                rows.append((f, n, str(record["run_id"]), text(names.get("schema_version", "schema_version")), text(names.get("repository.name", "repository.name")), json.dumps(got, sort_keys=True, ensure_ascii=False)))
+                typed, rest = {}, {}
+                for k, v in got.items():
+                    kind = types.get(k)
+                    if kind is None or kind and kind != "array" and v is not None and type_of(v) != kind:
+                        rest[k] = v
+                    elif v is not None:
+                        typed[k] = v if kind and kind != "array" else dumps(v)
+                rows.append((f, n, str(got[key]), text(version), text(repository), dumps(got), dumps(typed), dumps(rest) if rest else None))
             if rows:
-                yield pd.DataFrame(rows, columns=["file_id", "line_no", "run_id", "schema_version", "repository", "record"])
+                yield pd.DataFrame(rows, columns=["file_id", "line_no", "run_id", "schema_version", "repository", "record", "fields", "rest"])
 
     flat = records.where("file_id is not null").select("file_id", F.coalesce("line_no", F.lit(0)).alias("line_no"), "body").mapInPandas(run, schema)
     placed = files.select("file_id", "stream", "written_at").dropDuplicates(["file_id"])
-    first = F.min_by(F.struct("file_id", "schema_version", "repository", "record"), F.struct("written_at", "file_id", "line_no", "record"))
-    return (
-        flat.join(placed, "file_id").groupBy("stream", "run_id").agg(first.alias("r"), F.count(F.lit(1)).alias("n_copies"))
-        .select("stream", "run_id", F.col("r.file_id").alias("first_file"), "n_copies", F.col("r.schema_version").alias("schema_version"), F.col("r.repository").alias("repository"), F.col("r.record").alias("record"))
-    )
+    first = F.min_by(F.struct("file_id", "schema_version", "repository", "record", "fields", "rest"), F.struct("written_at", "file_id", "line_no", "record"))
+    return flat.join(placed, "file_id").groupBy("stream", "run_id").agg(first.alias("r"), F.count(F.lit(1)).alias("n_copies"))
+
+
+def unified_runs(records: DataFrame, files: DataFrame) -> DataFrame:
+    """(stream, run_id, first_file, n_copies, schema_version, repository, record): each run once, its fields under canonical names.
+
+    record is a JSON object of canonical dotted paths. Of several copies of a run the one in the earliest file (by
+    written_at, then line) counts. Records without run_id, under whatever name it goes, are left out.
+    """
+    got = _runs(records, files, canonical_names(changes(records, files)), {})
+    return got.select("stream", "run_id", F.col("r.file_id").alias("first_file"), "n_copies", F.col("r.schema_version").alias("schema_version"), F.col("r.repository").alias("repository"), F.col("r.record").alias("record"))
+
+
+def typed_runs(records: DataFrame, files: DataFrame) -> DataFrame:
+    """(stream, run_id, first_file, n_copies, one column per canonical field, rest): the runs as one table of one schema.
+
+    A column is named by the field's canonical dotted path and typed double, string or boolean where all files agree on
+    that; arrays, and fields whose type changes, keep the JSON text of their values, so that none is lost. rest is a JSON
+    object of what has no column: fields of single records, and values of another type than their column's; null
+    if there is nothing. Which copy of a run counts is as in ``unified_runs``.
+    """
+    layout = written(layouts(records, files), "layouts")
+    names = canonical_names(changes(records, files, layout))
+    types = column_types(layout, names)
+    got = _runs(records, files, names, types).select("stream", "run_id", "r", "n_copies")
+    taken = {"stream", "run_id", "first_file", "n_copies", "rest"}
+    paths = [p for p in types if p not in taken and p != names.get("run_id", "run_id")]
+    sql = {"number": T.DoubleType(), "boolean": T.BooleanType()}
+    schema = T.StructType([T.StructField(p, sql.get(types[p], T.StringType())) for p in paths])
+    v = got.withColumn("v", F.from_json("r.fields", schema)) if paths else got.withColumn("v", F.lit(None))
+    return v.select("stream", "run_id", F.col("r.file_id").alias("first_file"), "n_copies", *(F.col(f"v.`{p}`").alias(p) for p in paths), F.col("r.rest").alias("rest"))

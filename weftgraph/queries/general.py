@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_runs(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.unified_runs(table(spark, d, "run_records"), table(spark, d, "run_files"))
+    return schema_drift.typed_runs(table(spark, d, "run_records"), table(spark, d, "run_files"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
