@@ -48,6 +48,14 @@ def test_surfaces(spark):
     assert doc["paths"]["/o/{id}"]["get"]["parameters"][0]["name"] == "id"
 
 
+def test_route_and_tool_maps(spark):
+    nodes = [(1, "r", "endpoint", "GET /o/{id}", "c.json", None, "declared"), (2, "r", "endpoint", "GET /o/:id", "s.js", None, "observed"), (3, "r", "endpoint", "TOOL sort", "t.py", None, "observed"), (5, "r", "function", "h", "s.js", None, "observed"), (6, "r", "function", "c", "u.js", None, "observed")]
+    g = build(spark, nodes, [(5, 2, "implements", "EXTRACTED"), (6, 1, "calls", "INFERRED"), (6, 2, "calls", "INFERRED")])
+    assert sorted((r["name"], r["role"], r["symbol"], r["confidence"]) for r in V.surface_map(g).collect()) == [("GET /o/{id}", "consumer", "c", "INFERRED"), ("GET /o/{id}", "handler", "h", "EXTRACTED")]
+    assert [(r["name"], r["state"], r["role"]) for r in V.surface_map(g, tools=True).collect()] == [("TOOL sort", "unknown", None)]
+    assert V.surface_map(g, needle="nothing").collect() == []
+
+
 def test_diff_and_drift(spark):
     a = build(spark, [(1, "r", "function", "x", "a", None, "observed"), (2, "r", "function", "y", "a", None, "observed")], [(1, 2, "calls", "EXTRACTED")])
     b = build(spark, [(7, "r", "function", "x", "b", None, "observed"), (8, "r", "function", "z", "a", None, "observed")], [(7, 8, "calls", "EXTRACTED")])

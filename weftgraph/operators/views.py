@@ -46,6 +46,21 @@ def mismatch_summary(s: DataFrame) -> DataFrame:
     return s.groupBy("repo", "state").agg(F.count(F.lit(1)).alias("surfaces"), F.sum("consumers").alias("consumers"))
 
 
+def surface_map(g: PropertyGraph, tools: bool = False, needle: str = "") -> DataFrame:
+    """(repo, name, state, role, symbol, file_path, line, confidence): the route map, or the tool map, of surfaces whose name holds the text.
+
+    One row for each handler and each consumer of a surface, so that none is a list however many use it; a surface without
+    any has one row with null from role on.
+    """
+    s = surfaces(g).where(F.col("name").contains(needle)).where(F.col("shape").startswith("TOOL ") if tools else ~F.col("shape").startswith("TOOL "))
+    e = g.nodes.where("kind = 'endpoint'").select(F.col("id").alias("dst"), F.col("repo").alias("_repo"), endpoint_shape(F.col("name")).alias("_shape"))
+    who = g.nodes.select(F.col("id").alias("src"), F.col("name").alias("symbol"), "file_path", F.col("start_line").alias("line"))
+    role = F.when(F.col("kind") == "implements", "handler").otherwise("consumer").alias("role")
+    uses = g.edges.where("kind in ('implements', 'calls')").join(e, "dst").join(who, "src").select("_repo", "_shape", role, "symbol", "file_path", "line", "confidence").distinct()
+    got = s.join(uses, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("shape") == F.col("_shape")), "left")
+    return got.select("repo", "name", "state", "role", "symbol", "file_path", "line", "confidence")
+
+
 def api_impact(g: PropertyGraph) -> DataFrame:
     """(root, dependents): per endpoint with handlers, how many symbols depend on its handlers, as deep as any impact."""
     from weftgraph.operators.graph_algos import against, reach

@@ -26,6 +26,10 @@ def v02_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return V.mismatch_summary(V.surfaces(load(spark, d)))
 
 
+def v02_route_map(spark: SparkSession, d: str) -> DataFrame:
+    return V.surface_map(load(spark, d))
+
+
 def v04_api_impact(spark: SparkSession, d: str) -> DataFrame:
     return V.api_impact(load(spark, d))
 
@@ -183,7 +187,7 @@ def a17_lessons(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        v01_surfaces, v02_mismatches, v04_api_impact, v06_pr_insight, v07_overlaps, v07_overlap_counts, v09_triage, v10_diff, v10_edge_diff, a16_fan_in, v12_drift, v13_links, v16_status, v17_markers, a09_community_summary, a10_bundles, a11_folding,
+        v01_surfaces, v02_mismatches, v02_route_map, v04_api_impact, v06_pr_insight, v07_overlaps, v07_overlap_counts, v09_triage, v10_diff, v10_edge_diff, a16_fan_in, v12_drift, v13_links, v16_status, v17_markers, a09_community_summary, a10_bundles, a11_folding,
         a09_file_summary, a10_file_bundles, a12_area_names, a13_areas, a14_coupling, f01_search, f01_word_search, f02_explore, f03_cards, f04_semantic, f05_embedding_text, f07_recall, a17_lessons,
     )
 }
@@ -206,6 +210,8 @@ ORACLE = {
     for k, v in {
         "v01_surfaces": f"WITH {_SURF} SELECT * FROM t",
         "v02_mismatches": f"WITH {_SURF} SELECT repo, state, count(*) AS surfaces, CAST(sum(consumers) AS BIGINT) AS consumers FROM t GROUP BY 1, 2",
+        "v02_route_map": f"""WITH {_SURF}, w AS (SELECT DISTINCT e.repo, e.shape, CASE x.kind WHEN 'implements' THEN 'handler' ELSE 'consumer' END AS role, n.name AS symbol, n.file_path, n.start_line AS line, x.confidence FROM e JOIN g_edges x ON x.dst = e.id AND x.kind IN ('implements', 'calls') JOIN g_nodes n ON n.id = x.src)
+            SELECT t.repo, t.name, state, role, symbol, file_path, line, confidence FROM t LEFT JOIN w ON w.repo IS NOT DISTINCT FROM t.repo AND w.shape = t.shape WHERE NOT starts_with(t.shape, 'TOOL ')""",
         "v04_api_impact": """WITH RECURSIVE s AS (SELECT DISTINCT e.dst AS root, e.src AS id FROM g_edges e JOIN g_nodes n ON n.id = e.dst AND n.kind = 'endpoint' WHERE e.kind = 'implements'),
             b(root, id) AS (SELECT root, id FROM s UNION SELECT b.root, e.src FROM b JOIN g_edges e ON e.dst = b.id) SELECT root, count(*) AS dependents FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.root = b.root AND s.id = b.id) GROUP BY 1""",
         "v06_pr_insight": """WITH RECURSIVE f AS (SELECT repo, CAST(fetched_at AS DATE) AS day, file_path FROM source_files WHERE repo IS NOT NULL AND fetched_at IS NOT NULL), l AS (SELECT repo, max(day) AS day FROM f GROUP BY 1),
