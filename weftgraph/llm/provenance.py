@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from weftgraph.session import written
 
 #: A text of n characters weighs n^2 / (n + SHORT): long ones nearly n, short ones next to nothing.
-SHORT = 100
-#: Share of a file's weight that must come from outside, and the least weight of a file, or of a directory's files, for a verdict.
+SHORT = 60
+#: Share of a file's weight that must come from outside, and the least weight for a verdict: of the outside blocks of a file,
+#: and of a file, or a directory's files, as one hash.
 OUTSIDE_SHARE = 0.4
-EVIDENCE = 100
+EVIDENCE = 75
+WHOLE = 112
 #: The family of the package table.
 PACKAGES = 0
 KINDS = ("data", "generated", "minified")
@@ -298,7 +300,7 @@ def foreign(files: DataFrame, third_party: DataFrame, related: Callable[[str | N
     refs = written(leaves(third_party.select(F.col("item_id").alias("file_id"), F.col("package").alias("repo"), F.col("file_name").alias("path"), "text"), packages=True), "packages")
     both = mine.unionByName(refs)
 
-    weighty = weight(F.col("chars")) >= EVIDENCE
+    weighty = weight(F.col("chars")) >= WHOLE
     shared_files = outside(both.where(weighty).select(F.col("file_key").alias("k"), "family"))
     whole = mine.where(weighty).select("file_id", F.col("file_key").alias("k")).join(shared_files, "k", "left_semi").select("file_id")
 
@@ -310,7 +312,7 @@ def foreign(files: DataFrame, third_party: DataFrame, related: Callable[[str | N
     )
     patched = mass.where((F.col("foreign") >= F.col("all") * OUTSIDE_SHARE) & (F.col("foreign") >= F.col("copies") * EVIDENCE)).select("file_id")
 
-    trees = written(subtrees(mine).where((F.col("n") >= 2) & (F.col("weight") >= EVIDENCE)), "trees")
+    trees = written(subtrees(mine).where((F.col("n") >= 2) & (F.col("weight") >= WHOLE)), "trees")
     shared_dirs = trees.join(outside(trees.select("k", "family")), "k", "left_semi").select("repo", "dir")
     above = mine.select("file_id", "repo", F.explode(F.expr("transform(sequence(1, greatest(1, size(split(path, '/')) - 1)), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("dir"))
     under = above.join(shared_dirs, ["repo", "dir"], "left_semi").select("file_id")
