@@ -271,3 +271,11 @@ def test_insight_and_cards_are_of_the_whole_tables(spark, data):
     assert sorted(r[0] for r in got) == sorted(r[0] for r in files.select("repo").distinct().collect())
     nodes = spark.read.parquet(f"{data}/nodes.parquet").where("id is not null")
     assert QUERIES["f03_cards"](spark, data).select("id").distinct().count() == nodes.select("id").distinct().count()
+
+
+def test_api_impact_has_no_depth(spark):
+    """A chain of callers longer than any impact's depth counts whole, a cycle once, and the handlers don't."""
+    chain = [(i, "r", "function", f"f{i}", "a", None, "observed") for i in range(1, 31)]
+    edges = [(1, 100, "implements", "EXTRACTED"), (31, 101, "implements", "EXTRACTED"), *((i + 1, i, "calls", "EXTRACTED") for i in range(1, 30)), (2, 30, "calls", "EXTRACTED"), (100, 5, "calls", "EXTRACTED")]
+    g = build(spark, [*chain, (31, "r", "function", "lone", "a", None, "observed"), (100, "r", "endpoint", "GET /x", "a", None, "declared"), (101, "r", "endpoint", "GET /y", "a", None, "declared")], edges)
+    assert [tuple(r) for r in V.api_impact(g).collect()] == [(100, 30)]
