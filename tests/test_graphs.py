@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,31 @@ def test_repositories_are_kept_apart(spark):
     one = spark.createDataFrame([("a", "x.py", "call", "f", "g")], R)
     both = G.insert_references(one, spark.createDataFrame([("b", "x.py", "call", "f", "g"), ("a", "x.py", "call", "f", "g")], R))
     assert sorted(r["repo"] for r in both.collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("most_rows", [0, 1_000_000])
+def test_touched_makes_no_pair_inside_a_whole(spark, most_rows):
+    """Counts equal brute force on random graphs of several components; what a core's dependents are, no root repeats."""
+    rng = random.Random(4)
+    ends = [(a, b) for base in (0, 100) for a, b in ((base + rng.randrange(60), base + rng.randrange(60)) for _ in range(90))]
+    g = build(spark, [(i, "function", f"n{i}", "f") for i in range(200)], [(a, b, "calls", "EXTRACTED") for a, b in set(ends)])
+    pairs = {(r, rng.randrange(170)) for r in range(40) for _ in range(3)} | {(41, 199)}
+    seeds = spark.createDataFrame(sorted(pairs), "root bigint, id bigint")
+    users = {}
+    for a, b in ends:
+        users.setdefault(b, set()).add(a)
+    want = {}
+    for root in {r for r, _ in pairs}:
+        own = {i for r, i in pairs if r == root}
+        got, todo = set(own), list(own)
+        while todo:
+            new = users.get(todo.pop(), set()) - got
+            got |= new
+            todo += new
+        want[root] = got - own
+    rest, covers, whole = A.touched(g, seeds, most_rows)
+    assert {r["root"]: r["n"] for r in A.touched_counts(seeds, rest, covers, whole).collect()} == {r: len(x) for r, x in want.items() if x}
+    all_ = rest.unionByName(covers.join(whole, "core").select("root", "id"))
+    made = [tuple(r) for r in all_.collect()]
+    assert len(made) == len(set(made)) and set(made) == {(r, i) for r, x in want.items() for i in x} | pairs
+    assert covers.count() and rest.count() < len(made)
