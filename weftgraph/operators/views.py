@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import endpoint_shape, is_vendored, parent_dir
 from weftgraph.graph import PropertyGraph
-from weftgraph.operators.graph_algos import degrees, dependents, entrypoints, touched, touched_counts
+from weftgraph.operators.graph_algos import degrees, entrypoints, touched, touched_counts
 from weftgraph.session import written
 
 HUB_DEGREE = 10
@@ -140,13 +140,16 @@ def pr_insight(g: PropertyGraph, prs: DataFrame) -> DataFrame:
     """
     from weftgraph.functions.text import is_test_file
 
-    sym = pr_symbols(g, prs).withColumn("root", F.xxhash64("repo", "number"))
+    sym = written(pr_symbols(g, prs).withColumn("root", F.xxhash64("repo", "number")), "symbols")
     hubs = degrees(g).where(F.col("in_degree") >= HUB_DEGREE).select("id")
     n_sym = sym.groupBy("root").agg(F.count(F.lit(1)).alias("symbols"))
     n_hub = sym.join(hubs, "id", "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("hubs"))
-    reached = dependents(g, sym.select("root", "id"))
-    radius = reached.groupBy("root").agg(F.count(F.lit(1)).alias("blast_radius"))
-    tests = reached.join(g.nodes.select("id", "file_path"), "id").where(is_test_file(F.col("file_path"))).groupBy("root").agg(F.count_distinct("file_path").alias("tests"))
+    rest, covers, whole = touched(g, sym.select("root", "id"))
+    radius = touched_counts(sym, rest, covers, whole).withColumnRenamed("n", "blast_radius")
+    # of the pairs only those of tests are made
+    files = written(g.nodes.where(is_test_file(F.col("file_path"))).select("id", "file_path"), "tests")
+    reached = rest.join(files, "id").unionByName(whole.join(files, "id").join(covers, "core").select("id", "root", "file_path"))
+    tests = reached.join(sym.select("root", "id"), ["root", "id"], "left_anti").groupBy("root").agg(F.count_distinct("file_path").alias("tests"))
     p = prs.select("repo", "number", "draft", rollup(F.col("checks")).alias("check_state")).withColumn("root", F.xxhash64("repo", "number"))
     for part in (n_sym, n_hub, radius, tests):
         p = p.join(part, "root", "left")
