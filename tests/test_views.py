@@ -279,3 +279,17 @@ def test_api_impact_has_no_depth(spark):
     edges = [(1, 100, "implements", "EXTRACTED"), (31, 101, "implements", "EXTRACTED"), *((i + 1, i, "calls", "EXTRACTED") for i in range(1, 30)), (2, 30, "calls", "EXTRACTED"), (100, 5, "calls", "EXTRACTED")]
     g = build(spark, [*chain, (31, "r", "function", "lone", "a", None, "observed"), (100, "r", "endpoint", "GET /x", "a", None, "declared"), (101, "r", "endpoint", "GET /y", "a", None, "declared")], edges)
     assert [tuple(r) for r in V.api_impact(g).collect()] == [(100, 30)]
+
+
+def test_explore_ranks_all_questions(spark, data):
+    """f02_explore answers every entry's question, also those whose ids aren't divisible by 100, and equal ones alike."""
+    from weftgraph.queries.views import QUERIES
+
+    got = {}
+    for r in QUERIES["f02_explore"](spark, data).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    e = R.entries(spark.read.parquet(f"{data}/memory_entries.parquet")).select("id", "question").collect()
+    by = {}
+    for r in e:
+        by.setdefault(r["question"], set()).add(tuple(sorted(got.get(r["id"], ()))))
+    assert any(i % 100 for i in got) and all(len(x) == 1 for x in by.values()) and sum(map(bool, (got.get(r["id"]) for r in e))) > len(e) / 2
