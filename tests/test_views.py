@@ -293,3 +293,12 @@ def test_explore_ranks_all_questions(spark, data):
     for r in e:
         by.setdefault(r["question"], set()).add(tuple(sorted(got.get(r["id"], ()))))
     assert any(i % 100 for i in got) and all(len(x) == 1 for x in by.values()) and sum(map(bool, (got.get(r["id"]) for r in e))) > len(e) / 2
+
+
+def test_search_meets_phrases_whole(spark):
+    """A phrase of a common last token reads the runs that queries ask for, and counts repeats in name and description."""
+    docs = spark.createDataFrame([(1, "load_edge", "load edges, load edge"), (2, "edge load", "edge"), (3, "load", "edge")], "id bigint, name string, description string")
+    q = spark.createDataFrame([(1, "load_ed"), (2, "edge"), (3, "load edges load")], "query_id bigint, text string")
+    got = R.search(docs, q)
+    assert {(r["query_id"], r["id"]) for r in got.collect()} == {(1, 1), (2, 1), (2, 2), (2, 3), (3, 1)}
+    assert not any(x in got._jdf.queryExecution().optimizedPlan().toString() for x in ("at#", "posexplode"))

@@ -49,28 +49,30 @@ def idf(n_docs, n_hits):
 def search(docs: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, id, score, rank): top ``limit`` of each queries(query_id, text) as a phrase whose last token may be a prefix.
 
-    BM25 over the phrase's hits; ties by id. Queries without a token have no hits. Prefixes are found by joining on the
-    token's first letters: each token is looked up by all its prefixes that queries ask for.
+    BM25 over the phrase's hits; ties by id. Queries without a token have no hits. A phrase is met whole: runs of as many
+    tokens as queries have, by what stands before the last token and by the prefixes of that one, first among the distinct
+    runs; so the work follows the hits, not those of the last token alone. Joins with tables of the documents are merged.
     """
-    p = written(postings(docs), "postings")  # read five times below
+    n, t = (F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in ("name", "description"))
+    words = written(docs.select("id", n.alias("n"), t.alias("t")), "words")  # read five times below
     q = queries.select("query_id", tokens(F.col("text")).alias("t")).where("size(t) > 0")
-    last = q.select("query_id", F.size("t").alias("n"), F.element_at("t", -1).alias("prefix"))
-    wanted = last.select("prefix").distinct()
-    vocabulary = p.select("token").distinct()
-    grown = vocabulary.select("token", F.explode(F.expr("transform(sequence(1, length(token)), i -> substring(token, 1, i))")).alias("prefix")).join(wanted, "prefix")
-    hits = last.join(grown, "prefix").join(p, "token").select("query_id", "n", "id", "pos")
-    # the tokens before the last must stand right before it
-    before = q.where("size(t) > 1").select("query_id", F.posexplode(F.slice("t", F.lit(1), F.size("t") - 1)).alias("k", "token"))
-    led = hits.where("n > 1").join(before, "query_id").withColumn("at", F.col("pos") - (F.col("n") - 1) + F.col("k"))
-    match = led.join(p.select(F.col("id"), F.col("pos").alias("at"), "token"), ["id", "at", "token"]).groupBy("query_id", "n", "id", "pos").agg(F.count(F.lit(1)).alias("m")).where("m = n - 1")
-    phrase = hits.where("n = 1").select("query_id", "id", "pos").unionByName(match.select("query_id", "id", "pos"))
-    tf = phrase.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("tf"))
+    q = q.select("query_id", F.size("t").alias("k"), F.array_join(F.slice("t", F.lit(1), F.size("t") - 1), " ").alias("lead"), F.element_at("t", -1).alias("prefix"))
+    q = written(q, "asked")
+    part = words.select("id", F.explode(F.array("n", "t")).alias("w")).join(F.broadcast(q.select("k").distinct()), F.size("w") >= F.col("k"))
+    run = part.select("id", "k", F.explode(F.expr("transform(sequence(0, size(w) - k), i -> slice(w, i + 1, k))")).alias("r"))
+    runs = run.select("id", "k", F.array_join(F.slice("r", F.lit(1), F.col("k") - 1), " ").alias("lead"), F.element_at("r", -1).alias("last"))
+    runs = written(runs.join(q.select("k", "lead").distinct().hint("merge"), ["k", "lead"], "left_semi").groupBy("id", "k", "lead", "last").agg(F.count(F.lit(1)).alias("tf")), "runs")
+    vocabulary = runs.select("k", "lead", "last").distinct()
+    grown = vocabulary.select("k", "lead", "last", F.explode(F.expr("transform(sequence(1, length(last)), i -> substring(last, 1, i))")).alias("prefix"))
+    asked = grown.join(q.hint("merge"), ["k", "lead", "prefix"]).select("query_id", "k", "lead", "last")
+    phrase = asked.join(runs.hint("merge"), ["k", "lead", "last"]).select("query_id", "id", "tf")
+    tf = phrase.groupBy("query_id", "id").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
-    length = p.groupBy("id").agg(F.count(F.lit(1)).alias("len"))
+    length = words.select("id", (F.size("n") + F.size("t")).cast("bigint").alias("len")).groupBy("id").agg(F.sum("len").alias("len"))
     # documents without a token count, with length 0
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    n_tokens = p.agg(F.count(F.lit(1)).alias("n"))
-    s = tf.join(df, "query_id").join(length, "id").withColumn("n_docs", n_docs.scalar()).withColumn("avg", n_tokens.scalar() / F.col("n_docs"))
+    n_tokens = words.agg(F.sum(F.size("n") + F.size("t")).alias("n"))
+    s = tf.join(df.hint("merge"), "query_id").join(length.hint("merge"), "id").withColumn("n_docs", n_docs.scalar()).withColumn("avg", n_tokens.scalar() / F.col("n_docs"))
     score = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return s.select("query_id", "id", F.round(score, 9).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
@@ -91,7 +93,7 @@ def explore(g: PropertyGraph, queries: DataFrame, semantic: DataFrame | None = N
     per = open_.select("query_id", F.explode(words).alias("token"))
     asked = per.select("token").distinct().select(F.col("token").alias("query_id"), F.col("token").alias("text"))
     hit = search(docs, asked, 40).select(F.col("query_id").alias("token"), "id")
-    named = per.join(hit, "token").join(g.nodes.select("id", F.lower("name").alias("low")), "id")
+    named = per.join(hit.hint("merge"), "token").join(g.nodes.select("id", F.lower("name").alias("low")).hint("merge"), "id")
     points = F.when(F.col("low") == F.col("token"), 20).when(F.col("low").contains(F.col("token")), 10).otherwise(3)
     found = named.select("query_id", "id", points.alias("points"))
     rest = open_.join(per.select("query_id").distinct(), "query_id", "left_anti")
@@ -99,8 +101,8 @@ def explore(g: PropertyGraph, queries: DataFrame, semantic: DataFrame | None = N
     all_ = exact.unionByName(found).unionByName(phrase)
     if semantic is not None:
         all_ = all_.unionByName(semantic.select("query_id", "id", F.expr("cast(1200 div (60 + rank) as int)").alias("points")))
-    total = all_.groupBy("query_id", "id").agg(F.sum("points").alias("points")).join(degrees(g).select("id", "degree"), "id", "left")
-    total = total.withColumn("score", F.col("points") + F.least(F.coalesce("degree", F.lit(0)), F.lit(10))).join(g.nodes.select("id", "name"), "id")
+    total = all_.groupBy("query_id", "id").agg(F.sum("points").alias("points")).join(degrees(g).select("id", "degree").hint("merge"), "id", "left")
+    total = total.withColumn("score", F.col("points") + F.least(F.coalesce("degree", F.lit(0)), F.lit(10))).join(g.nodes.select("id", "name").hint("merge"), "id")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name", "id")
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "id", "name", "score", "rank")
 
