@@ -199,3 +199,16 @@ def test_budget_and_rendering(g):
     assert got["columns"] == ["a", "r", "line"] and got["rows"][0][2] == 31 and got["truncated"] is False
     page = plan(g, parse("MATCH (n) RETURN n.id LIMIT 1"))
     assert to_table(page).endswith("1 rows, more were left out") and to_table(plan(g, parse("MATCH (n:Component) RETURN n"))) == "no rows"
+
+
+def test_counts_multiply_at_a_shared_node(spark):
+    """Two patterns that meet at a hot node are counted from one row a node, not from the pairs of their matches."""
+    n = spark.createDataFrame([(i, "r", "function" if i < 50 else "method", f"n{i}", "f", 1, 2, None, "observed", None, None) for i in range(100)], N)
+    e = spark.createDataFrame([(i, 0, "calls" if i < 50 else "references", "EXTRACTED") for i in range(1, 100)] + [(7, 3, "calls", "EXTRACTED")], E)
+    hot = PropertyGraph(n, e)
+    text = "MATCH (a:Function)-[:CALLS]->(b), (c:Method)-[:REFERENCES]->(b) RETURN b.id AS id, count(*) AS n ORDER BY n DESC, id"
+    assert [tuple(r) for r in cypher(hot, text).collect()] == [(0, 49 * 50)]
+    assert Plan(hot, parse(text).arms[0]).rows(fold=True).count() == 50
+    where = "MATCH (a:Function)-[:CALLS]->(b), (c:Method)-[:REFERENCES]->(b) WHERE a.id < 3 RETURN a.name AS name, count(*) AS n ORDER BY name"
+    assert [tuple(r) for r in cypher(hot, where).collect()] == [("n1", 50), ("n2", 50)]
+    assert [tuple(r) for r in cypher(hot, "MATCH (a:Function)-[:CALLS]->(b), (c:Struct)-[:REFERENCES]->(b) RETURN count(*) AS n").collect()] == []

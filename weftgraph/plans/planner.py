@@ -18,7 +18,7 @@ from weftgraph.plans.lexer import QueryError
 from weftgraph.plans.parser import NODE_PROPERTIES, PATH_PROPERTIES, Hop, NodePattern, Pattern, Query, Select, Test, Value, parse
 
 STORED = {"id": "id", "kind": "kind", "name": "name", "file": "file_path", "line": "start_line", "end_line": "end_line"}
-KEY = "__key"
+KEY, COUNT = "__key", "__count"
 
 
 @dataclass
@@ -94,6 +94,13 @@ def walk(rows: DataFrame, start: str, hop: Hop, g: PropertyGraph, bound: bool, n
     return reduce(DataFrame.unionByName, out)
 
 
+def _variables(t: Test | Value | None) -> set[str]:
+    """The variables that a condition names."""
+    if isinstance(t, Value):
+        return {t.var} if t.kind in ("variable", "property") or t.var else set()
+    return {v for a in t.args if isinstance(a, (Test, Value)) for v in _variables(a)} if isinstance(t, Test) else set()
+
+
 class Plan:
     def __init__(self, g: PropertyGraph, select: Select):
         self.g, self.select = g, select
@@ -158,14 +165,25 @@ class Plan:
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
         return rows.join(right, on, "left").drop(*(f"__k{i}" for i in range(len(keys))))
 
-    def rows(self) -> DataFrame:
+    def rows(self, fold: bool = False) -> DataFrame:
+        """The matches; with ``fold`` a query that only counts them may get one row, and a count, for several."""
         rows: DataFrame | None = None
-        for p in self.select.patterns:
+        counted = fold and all(i.aggregate == "count" and i.value is None for i in self.select.items if i.aggregate) and any(i.aggregate for i in self.select.items)
+        for k, p in enumerate(self.select.patterns):
             rows = self.optional(rows, p) if p.optional else self.pattern(rows, p)
+            if counted and k + 1 < len(self.select.patterns):
+                rows = self.folded(rows, self.select.patterns[k + 1 :])
         if self.select.where is not None:
             rows = rows.where(self.truth(self.select.where, True))
         return rows
 
+    def folded(self, rows: DataFrame, later: list[Pattern]) -> DataFrame:
+        """Where only rows are counted: one row, with how many there are of it, for all that agree in what is still asked for; so patterns multiply counts at a hot node, not rows."""
+        used = {n.var for p in later for n in p.nodes} | {h.var for p in later for h in p.hops} | {i.value.var for i in self.select.items if i.value is not None} | _variables(self.select.where)
+        keep = [c for c in rows.columns if c != COUNT and c.rsplit("__", 1)[0] in used]
+        n = F.sum(COUNT) if COUNT in rows.columns else F.count(F.lit(1))
+        return rows.groupBy(*keep).agg(n.alias(COUNT)).where(F.col(COUNT) > 0)
+
     # expressions: (type, column), type one of int, text, node, path, null
 
     def value(self, v: Value) -> tuple[str, Column]:
@@ -247,13 +265,14 @@ class Plan:
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(everything, the page)."""
-        s, rows = self.select, self.rows()
+        s, rows = self.select, self.rows(fold=True)
         names = [i.alias for i in s.items]
         if len(set(names)) != len(names):
             raise QueryError("two returned columns have the same name; use AS")
         if any(i.aggregate for i in s.items):
             keys = [self.shown(i.value).alias(i.alias) for i in s.items if not i.aggregate]
-            aggs = [self.aggregate(i.aggregate, i.value).alias(i.alias) for i in s.items if i.aggregate]
+            many = COUNT in rows.columns
+            aggs = [(F.coalesce(F.sum(COUNT), F.lit(0)) if many else self.aggregate(i.aggregate, i.value)).alias(i.alias) for i in s.items if i.aggregate]
             if keys:
                 out = rows.groupBy(*keys).agg(*aggs)
             else:  # no rows, no group
