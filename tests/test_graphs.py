@@ -222,3 +222,32 @@ def test_touched_makes_no_pair_inside_a_whole(spark, most_rows):
     made = [tuple(r) for r in all_.collect()]
     assert len(made) == len(set(made)) and set(made) == {(r, i) for r, x in want.items() for i in x} | pairs
     assert covers.count() and rest.count() < len(made)
+
+
+@pytest.mark.parametrize("most_rows", [0, 1_000_000])
+def test_communities_as_arrays_are_the_sequential_ones(random_graph, most_rows):
+    """Large components as arrays in one task, or in blocks where no task holds them: the same labels."""
+    nodes, edges, g = random_graph
+    want = A.sequential_labels([i for i, *_ in nodes], [(a, b) for a, b, *_ in edges])
+    got = {r["id"]: r["community"] for r in A.communities(g, most_nodes=5, block_rows=60, most_rows=most_rows).collect()}
+    sizes = {c: list(want.values()).count(c) for c in set(want.values())}
+    assert got == {i: c for i, c in want.items() if sizes[c] > 1}
+
+
+def test_array_labels_keep_the_order_inside_a_stretch():
+    """Chains of near ids, hubs and repeated edges: what is settled together is settled in order."""
+    rng = random.Random(1)
+    for t in range(12):
+        n = (5, 50, 700)[t % 3]
+        ends = [(a, min(n - 1, a + rng.randrange(1, 5)) if t % 2 else rng.randrange(min(n, 4))) for a in (rng.randrange(n) for _ in range(3 * n))]
+        rows = {}
+        for a, b in ends:
+            if a != b:
+                rows[a, b], rows[b, a] = rows.get((a, b), 0) + 1, rows.get((b, a), 0) + 1
+        counts = [0] * n
+        for a, _ in rows:
+            counts[a] += 1
+        order = sorted(rows)
+        got = A.array_labels(np.cumsum(counts), np.array([b for _, b in order]), np.array([rows[x] for x in order]))
+        want = A.sequential_labels(list(range(n)), ends)
+        assert got.tolist() == [want[i] for i in range(n)]

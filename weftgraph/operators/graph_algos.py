@@ -6,7 +6,7 @@ and lost executors cost a round at most. Sets only grow through anti-joins, so w
 
 from __future__ import annotations
 
-
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -440,6 +440,91 @@ def block_labels(ids: list[int], labels: dict[int, int], inside: list[tuple[int,
     return new
 
 
+def array_labels(ends: np.ndarray, other: np.ndarray, weight: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """The labels of ``sequential_labels``, as positions: node i has the neighbours other[ends[i - 1]:ends[i]], of so many edges each.
+
+    Nodes are settled a stretch at a time. Neighbours before it are settled, those behind it are as they were, so only
+    neighbours inside the stretch depend on its order: first all its nodes vote as if none moved, then, in order, those
+    vote again that a moved node stands before.
+    """
+    n = len(ends)
+    starts = np.concatenate([[0], ends[:-1]])
+    label = np.arange(n, dtype=np.int64)
+    most = max(64, n // 256)
+    lows = [0]
+    while lows[-1] < n:  # about 2^20 rows, but one node at least
+        lows.append(max(lows[-1] + 1, min(lows[-1] + most, int(np.searchsorted(ends, starts[lows[-1]] + (1 << 20))), n)))
+
+    def votes(nodes: np.ndarray, labels: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per node (sorted, repeated a row) the label of most votes, the least among equals."""
+        key = nodes * n + labels
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total, key = np.add.reduceat(w[order].astype(np.int64), first), key[first]
+        node = key // n
+        begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        best = np.maximum.reduceat(total, begin)
+        top = np.flatnonzero(total == np.repeat(best, np.diff(np.append(begin, len(node)))))
+        _, at = np.unique(node[top], return_index=True)
+        return node[begin], key[top[at]] % n
+
+    for _ in range(rounds):
+        moved = False
+        for lo, hi in zip(lows, lows[1:]):
+            rows = slice(int(starts[lo]), int(ends[hi - 1]))
+            if rows.start == rows.stop:
+                continue
+            b = other[rows]
+            nodes = np.repeat(np.arange(hi - lo), ends[lo:hi] - starts[lo:hi])
+            who, new = votes(nodes, label[b], weight[rows])
+            now = label[lo:hi].copy()
+            now[who] = new
+            after = np.flatnonzero((b >= lo) & (b < lo + nodes))  # rows whose other end is settled before, in this stretch
+            if len(after):
+                follow: dict[int, list[int]] = {}
+                for x, y in zip((b[after] - lo).tolist(), nodes[after].tolist()):
+                    follow.setdefault(x, []).append(y)
+                again = list({y for x in follow if now[x] != label[lo + x] for y in follow[x]})
+                heapq.heapify(again)
+                queued = set(again)
+                while again:
+                    i = heapq.heappop(again)
+                    own = slice(int(starts[lo + i]), int(ends[lo + i]))
+                    c = other[own]
+                    l = label[c]
+                    before = (c >= lo) & (c < lo + i)
+                    l[before] = now[c[before] - lo]
+                    best = int(votes(np.zeros(len(c), np.int64), l, weight[own])[1][0])
+                    if best != now[i]:
+                        now[i] = best
+                        for y in follow.get(i, ()):
+                            if y not in queued:
+                                queued.add(y)
+                                heapq.heappush(again, y)
+            moved = moved or bool((now != label[lo:hi]).any())
+            label[lo:hi] = now
+        if not moved:
+            break
+    return label
+
+
+def task_labels(large: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """(id, community) of large(id, component) by ``array_labels``, a component a task; nodes without an edge to another are left out."""
+    one = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    rows = both.join(large.select(F.col("id").alias("a"), "component").hint("merge"), "a").join(large.select(F.col("id").alias("b")).hint("merge"), "b", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, counts, b, w in component_arrays(batches):
+            b = np.searchsorted(ids, b).astype(np.int32)
+            got = ids[array_labels(np.cumsum(counts), b, w, rounds)]
+            for lo in range(0, len(ids), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)], pa.int64()) for x in (ids, got)], ["id", "community"])
+
+    return per_component(rows, run, "id bigint, community bigint")
+
+
 def ordered_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 12, block_rows: int = 1_000_000) -> DataFrame:
     """(id, community): the labels of ``sequential_labels`` for graphs that no task can hold.
 
@@ -491,17 +576,18 @@ def ordered_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 12, block_r
     return out.unionByName(nodes.select("id", F.col("id").alias("community")).join(out.select("id"), "id", "left_anti"))
 
 
-def communities(g: PropertyGraph, most_nodes: int = 20_000, rounds: int = 12, block_rows: int = 1_000_000) -> DataFrame:
+def communities(g: PropertyGraph, most_nodes: int = 20_000, rounds: int = 12, block_rows: int = 1_000_000, most_rows: int = TASK_ROWS) -> DataFrame:
     """(id, community) of the communities with more than one member.
 
     Labels spread one node after another in the order of ids, in components of every size. No label leaves its
-    component, so components of up to ``most_nodes`` nodes, a bound on what one task gets, run apart; larger ones run in
-    blocks of about ``block_rows`` neighbours (``ordered_labels``). Neither bound changes a label.
+    component, so components of up to ``most_nodes`` nodes, a bound on what one task gets as objects, run apart, larger ones
+    of up to ``most_rows`` neighbours as arrays (``task_labels``), and what is larger still in blocks of about
+    ``block_rows`` neighbours (``ordered_labels``). No bound changes a label.
     """
     comp = written(components(g), "comp")
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     small = comp.join(size.where(F.col("n") <= most_nodes), "component").where("n > 1")
-    large = comp.join(size.where(F.col("n") > most_nodes), "component").select("id")
+    large = comp.join(size.where(F.col("n") > most_nodes), "component").select("id", "component")
     inner = g.edges.select("src", "dst").join(small.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst")
     rows = small.select("component", F.col("id").alias("src"), F.lit(None).cast("bigint").alias("dst")).unionByName(inner)
 
@@ -514,7 +600,12 @@ def communities(g: PropertyGraph, most_nodes: int = 20_000, rounds: int = 12, bl
 
     exact = rows.groupBy("component").applyInPandas(run, "id bigint, community bigint")
     if large.take(1):
-        exact = exact.unionByName(ordered_labels(large, g.edges, rounds, block_rows))
+        large = written(large, "large")
+        rows = g.edges.where("src <> dst").select(F.col("src").alias("id")).join(large.hint("merge"), "id").groupBy("component").agg((F.count(F.lit(1)) * 2).alias("rows"))
+        blocks = written(rows.where(F.col("rows") > most_rows).select("component"), "blocks")
+        exact = exact.unionByName(task_labels(large.join(blocks, "component", "left_anti"), g.edges, rounds))
+        if blocks.take(1):
+            exact = exact.unionByName(ordered_labels(large.join(blocks, "component", "left_semi").select("id"), g.edges, rounds, block_rows))
     members = exact.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("community")
     return exact.join(members, "community").select("id", "community")
 
