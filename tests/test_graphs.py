@@ -251,3 +251,15 @@ def test_array_labels_keep_the_order_inside_a_stretch():
         got = A.array_labels(np.cumsum(counts), np.array([b for _, b in order]), np.array([rows[x] for x in order]))
         want = A.sequential_labels(list(range(n)), ends)
         assert got.tolist() == [want[i] for i in range(n)]
+
+
+def test_label_propagation_broadcasts_no_labels(spark):
+    """The labels of all nodes, small when compressed, are merged, not sent to the driver."""
+    g = build(spark, [(i, "function", f"n{i}", "f") for i in range(6)], [(0, 1, "calls", "EXTRACTED"), (1, 2, "calls", "EXTRACTED"), (3, 4, "calls", "EXTRACTED")])
+    plans, write = [], A.written
+    try:
+        A.written = lambda df, *names: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *names))[1]
+        A.label_propagation(g, 2).collect()
+    finally:
+        A.written = write
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans)

@@ -385,10 +385,10 @@ def label_propagation(g: PropertyGraph, rounds: int = 12) -> DataFrame:
     )
     labels = written(g.nodes.select("id", F.col("id").alias("label")), "labels")
     for _ in range(rounds):
-        votes = e.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("n"))
+        votes = e.join(labels.select(F.col("id").alias("b"), "label").hint("merge"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("n"))
         top = votes.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("minus"))).alias("t"), F.max("n").alias("most"))
-        own = votes.join(labels.withColumnRenamed("label", "mine"), "id").where("label = mine").select("id", F.col("n").alias("own"))
-        new = labels.join(top, "id", "left").join(own, "id", "left").select("id", "label", F.when(F.col("t").isNull() | (F.col("own") == F.col("most")), F.col("label")).otherwise(-F.col("t.minus")).alias("new"))
+        own = votes.join(labels.withColumnRenamed("label", "mine").hint("merge"), "id").where("label = mine").select("id", F.col("n").alias("own"))
+        new = labels.join(top.hint("merge"), "id", "left").join(own.hint("merge"), "id", "left").select("id", "label", F.when(F.col("t").isNull() | (F.col("own") == F.col("most")), F.col("label")).otherwise(-F.col("t.minus")).alias("new"))
         new = written(new, "labels")
         moved = new.where("label <> new").take(1)
         labels = new.select("id", F.col("new").alias("label"))
